@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostrata.llm import contamination, packing, residue
+from hydrostrata.llm import contamination, mojibake, packing, residue
 from hydrostrata.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_restored(spark, folder).select("table_name", "record_id").distinct()
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled name with the cipher it went through and the original where it can be restored."""
+    return mojibake.garbled_names(table(spark, folder, "districts"), table(spark, folder, "assessment_units"))
+
+
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The document-to-container plan for containers of 2,048 tokens."""
     return packing.pack(table(spark, folder, "documents"))
@@ -44,5 +53,5 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(documents).join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
 ORACLES: dict[str, str] = {}
