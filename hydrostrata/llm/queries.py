@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostrata.llm import contamination, mojibake, packing, residue
+from hydrostrata.llm import canonical, contamination, crosssplit, mojibake, packing, residue
 from hydrostrata.sources.tables import table
 
 
@@ -18,6 +18,27 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.garbled_names(table(spark, folder, "districts"), table(spark, folder, "assessment_units"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_mentions(spark, folder).select("mention_id", "entity_id")
+
+
+def p6_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mention with its entry or -1, the nearest entry, its scores and the reason."""
+    return canonical.map_mentions(table(spark, folder, "errors_sample"), table(spark, folder, "gazetteer"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = crosssplit.overlaps(table(spark, folder, "ingres_bench_v1"))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2")).distinct()
+
+
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation questions found in train, and pairs, by split and template."""
+    bench = table(spark, folder, "ingres_bench_v1")
+    rows = bench.select(F.col("id").alias("eval_id"), "split", "template_id").distinct()
+    return crosssplit.overlaps(bench).join(rows, "eval_id").groupBy("split", "template_id").agg(F.countDistinct("eval_id").alias("n_questions"), F.count("*").alias("n_pairs"))
+
+
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The document-to-container plan for containers of 2,048 tokens."""
     return packing.pack(table(spark, folder, "documents"))
@@ -53,5 +74,5 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(documents).join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p6_found, p6_mentions, p7_found, p7_counts, p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
 ORACLES: dict[str, str] = {}
