@@ -88,10 +88,16 @@ def strip_levels(text: str) -> tuple[str, str | None]:
 _SOUNDS = [("chh", "c"), ("ch", "c"), ("sh", "s"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("ph", "p"), ("bh", "b"), ("jh", "j"), ("ee", "i"), ("ii", "i"), ("oo", "u"), ("uu", "u"), ("aa", "a"), ("ai", "e"), ("au", "o"), ("ow", "av"), ("ae", "e"), ("w", "v"), ("q", "k"), ("x", "ks"), ("z", "j"), ("y", "y")]
 
 
+#: Spellings of name endings that stand for one another.
+_ENDINGS = [(r"gh?ara?m$", "gar"), (r"n[ae]gger$", "nagar"), (r"(?:pore|poor|pour|paure)$", "pur"), (r"ally$", "alli"), (r"ttah$", "ttai"), (r"ga(?:m|nv|av|v|um|un)$", "gaon"), (r"gon$", "gaon"), (r"gar?dh?$", "garh"), (r"ganz$", "ganj"), (r"wad[hi]?$|vad[hi]?$", "wadi")]
+
+
 @lru_cache(1 << 16)
 def sound(name: str) -> str:
     """The sound form of Latin words: vowel length, aspiration, doubled letters and blanks dropped."""
     s = name.replace(" ", "")
+    for a, b in _ENDINGS:
+        s = re.sub(a, b, s)
     for a, b in _SOUNDS:
         s = s.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrostrata.llm import canonical, contamination, crosssplit, mojibake, packing, residue
+from hydrostrata.llm import canonical, contamination, crosssplit, matching, mojibake, packing, residue
 from hydrostrata.sources.tables import table
 
 
@@ -18,6 +18,15 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.garbled_names(table(spark, folder, "districts"), table(spark, folder, "assessment_units"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_matches(spark, folder).select("review_id", "pub_id")
+
+
+def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Matched crosswalk and published rows with the marginal probability of the match."""
+    return matching.match_units(table(spark, folder, "crosswalk_fuzzy_review_sample"), table(spark, folder, "published_units"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_mentions(spark, folder).select("mention_id", "entity_id")
 
@@ -74,5 +83,5 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(documents).join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p6_found, p6_mentions, p7_found, p7_counts, p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_matches, p6_found, p6_mentions, p7_found, p7_counts, p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
 ORACLES: dict[str, str] = {}
