@@ -39,3 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hydrostrata-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` hash-partitioned for work that is heavy per row, so that few bytes do not mean few tasks.
+
+    The number is given, so adaptive execution does not merge the partitions: the session's shuffle
+    partitions, and at least two a core.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
