@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "hydrostrata", master: str | None = None, **conf: object) -> SparkSession:
@@ -45,8 +46,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` hash-partitioned for work that is heavy per row, so that few bytes do not mean few tasks.
 
     The number is given, so adaptive execution does not merge the partitions: the session's shuffle
-    partitions, and at least two a core.
+    partitions, and at least two a core. The hash is one of its own, else the planner would take the
+    partitioning of an aggregation before it, which adaptive execution does merge.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *columns)
+    return df.repartition(n, F.xxhash64(*columns))
