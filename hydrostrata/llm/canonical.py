@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrostrata.llm.placenames import latin, slips, sound, strip_levels, voiceless
+from hydrostrata.session import spread
 
 BLOCK_ENTRIES = 50_000
 SIZES = (2, 3)
@@ -109,8 +110,14 @@ class GazetteerIndex:
         if top <= 0:
             return nothing
         found: dict[int, tuple[int, float]] = {}
-        for r in np.flatnonzero(scores >= top - REACH):
-            s = slips(plain, self.forms[r][1]) if mute else min(slips(spoken, self.forms[r][0]), slips(written, self.forms[r][2]))
+
+        def count(r: int) -> int:
+            return slips(plain, self.forms[r][1]) if mute else min(slips(spoken, self.forms[r][0]), slips(written, self.forms[r][2]))
+
+        # nothing is nearer than an equal form, so only equals of it are looked at then
+        reach = MARGIN if count(int(scores.argmax())) == 0 else REACH
+        for r in np.flatnonzero(scores >= top - reach):
+            s = count(r)
             e = int(self.owner[r])
             found[e] = min(found.get(e, (9, 0.0)), (s, -float(scores[r])))
         least = min(s for s, _ in found.values())
@@ -154,7 +161,7 @@ def map_mentions(mentions: DataFrame, gazetteer: DataFrame, accept: tuple[float,
     idf, unseen = _idf(entries)
     blocks = max(1, -(-entries.count() // BLOCK_ENTRIES))
     keyed = mentions.where("mention_id is not null").select("mention_id", F.coalesce("mention", F.lit("")).alias("mention"), F.coalesce(F.to_json("context"), F.lit("{}")).alias("context"))
-    distinct = keyed.select("mention", "context").distinct()
+    distinct = spread(keyed.select("mention", "context").distinct(), "mention", "context")
     answers = None
     for b in range(blocks):
         part = [tuple(r) for r in entries.where(F.pmod(F.xxhash64("entity_id"), F.lit(blocks)) == b).orderBy("entity_id").collect()]
