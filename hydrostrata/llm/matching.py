@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrostrata.llm.placenames import latin, slips, sound, strip_levels
-from hydrostrata.session import checkpointed
+from hydrostrata.session import checkpointed, spread
 
 #: Marginal probability from which a pair is a match.
 CONFIDENT = 0.5
@@ -152,7 +152,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
         return pd.Series([log_odds(p, q) for p, q in zip(rows(x), rows(y), strict=True)])
 
-    scored = pairs.join(a_rows, "entity_key").join(b_rows, "record_key").withColumn("score", score("entity_row", "record_row"))
+    scored = spread(pairs.join(a_rows, "entity_key").join(b_rows, "record_key"), "entity_key", "record_key").withColumn("score", score("entity_row", "record_row"))
     return scored.where(F.col("score") >= FLOOR).groupBy("entity", "year", "record").agg(F.max("score").alias("score"))
 
 
@@ -195,7 +195,7 @@ def match_units(crosswalk: DataFrame, published: DataFrame, confident: float = C
     rows = crosswalk_rows(crosswalk)
     named = rows.select("id", "year", F.explode(F.array_distinct(F.array("name_in_year", "canonical_name"))).alias("name"), "district", "state", "area").where("name is not null").distinct()
     units = published.where("pub_id is not null and gwra_year is not null").select(F.col("pub_id").cast("string").alias("id"), F.col("gwra_year").cast("int").alias("year"), F.col("unit_label").alias("name"), F.col("district_label").alias("district"), F.col("state_label").alias("state"), F.col("area_ha").alias("area")).distinct()
-    matched = propagate(candidates(checkpointed(named.mapInPandas(_parse, PARSED)), checkpointed(units.mapInPandas(_parse, PARSED)))).where(F.col("confidence") >= confident)
+    matched = propagate(candidates(checkpointed(spread(named, "id", "year").mapInPandas(_parse, PARSED)), checkpointed(spread(units, "id").mapInPandas(_parse, PARSED)))).where(F.col("confidence") >= confident)
     return rows.select("review_id", F.col("id").alias("entity"), "year").distinct().join(matched, ["entity", "year"]).select("review_id", F.col("record").cast("long").alias("pub_id"), "confidence").distinct()
 
 
