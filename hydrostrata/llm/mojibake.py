@@ -21,6 +21,7 @@ All passes are scans of the name column without a shuffle; models are tables of
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,13 +37,17 @@ UTF16 = "utf-16"
 CLEAN = "clean"
 BUCKETS = 1 << 18
 ITERATIONS = 2
+#: Stands for any character before the one that is counted.
+ANY = "\0"
 LOST = "�"
+#: Log odds that a two-byte sign of a garbled name, not of a real one, splits into two printable ASCII signs.
+WIDE_EVIDENCE = 3.0
 #: Posterior from which a lost letter is filled.
 FILL = 0.8
 _BASE = 0xF700  # private-use place of byte 0; keeps mapped bytes apart from characters
 _SEQUENCE = re.compile(f"[{chr(_BASE + 0xC2)}-{chr(_BASE + 0xDF)}][{chr(_BASE + 0x80)}-{chr(_BASE + 0xBF)}]|[{chr(_BASE + 0xE0)}-{chr(_BASE + 0xEF)}][{chr(_BASE + 0x80)}-{chr(_BASE + 0xBF)}]{{2}}")
 _HOLE = re.compile(f"([{chr(_BASE + 0xE0)}-{chr(_BASE + 0xEF)}])([{chr(_BASE + 0x80)}-{chr(_BASE + 0xBF)}])([^ -~{chr(_BASE + 0x80)}-{chr(_BASE + 0xFF)}])|([{chr(_BASE + 0xC2)}-{chr(_BASE + 0xDF)}])([^ -~{chr(_BASE + 0x80)}-{chr(_BASE + 0xFF)}])")
-_REST = re.compile(f"[{chr(_BASE + 0xC2)}-{chr(_BASE + 0xEF)}][{chr(_BASE + 0x80)}-{chr(_BASE + 0xFF)}]")
+_REST = re.compile(f"[{chr(_BASE + 0xC2)}-{chr(_BASE + 0xEF)}][{chr(_BASE + 0x80)}-{chr(_BASE + 0xBF)}]")
 _WIDE = re.compile("[⁀-ⁿ一-鿿㐀-䷿]{3,}")
 
 
@@ -72,7 +77,8 @@ class Model:
 
     def __init__(self, bigrams: np.ndarray, ciphers: dict[str, dict[str, int]], shares: dict[str, float]):
         self.bigrams, self.ciphers, self.shares = bigrams, ciphers, shares
-        self.log = np.log((bigrams + 0.05) / (bigrams.sum() + 0.05 * BUCKETS)).astype(np.float32)
+        self.total = max(1.0, bigrams.sum() / 2)
+        self.chance = lru_cache(1 << 16)(self._chance)
         self.maps = {k: {ord(s): chr(_BASE + b) for s, b in t.items()} for k, t in ciphers.items()}
         self.best = lru_cache(1 << 16)(self._best)
 
@@ -82,7 +88,12 @@ class Model:
     def loglik(self, text: str) -> float:
         """Log likelihood of a name as a chain of character bigrams."""
         t = "^" + _lower(text) + "$"
-        return float(sum(self.log[_bucket(a, b)] for a, b in zip(t, t[1:], strict=False)))
+        return sum(self.chance(a, b) for a, b in zip(t, t[1:], strict=False))
+
+    def _chance(self, a: str, b: str) -> float:
+        """Log probability that ``b`` follows ``a``, backing off to how common ``b`` is at all."""
+        alone = (self.bigrams[_bucket(ANY, b)] + 0.01) / (self.total + 100.0)
+        return float(np.log((self.bigrams[_bucket(a, b)] + 2 * alone) / (self.bigrams[_bucket(ANY, a)] + 2)))
 
     def undo(self, name: str, source: str) -> str:
         """``name`` with one layer of ``source`` undone; symbols outside valid byte sequences stay."""
@@ -107,7 +118,7 @@ class Model:
             options.append((source, self.undo(twice, source) if twice != once else once))
         if len(options) == 1:
             return CLEAN, name, 1.0
-        scores = np.array([self.loglik(y) + np.log(self.shares.get(s, 1e-4)) for s, y in options])
+        scores = np.array([self.loglik(y) + np.log(self.shares.get(s, 1e-4)) + (WIDE_EVIDENCE * sum(c not in y for c in name) if s == UTF16 else 0.0) for s, y in options])
         weights = np.exp(scores - scores.max())
         k = int(scores.argmax())
         return options[k][0], options[k][1], float(weights[k] / weights.sum())
@@ -124,17 +135,17 @@ class Model:
                     return None
                 name = name[:at] + found + name[at + width :]
                 continue
-            p = np.exp([self.log[_bucket(before, c)] + self.log[_bucket(c, after)] for c in letters])
-            if p.max() < FILL * p.sum() or p.max() < 1e-9:
+            p = np.exp([self.chance(before, c) + self.chance(c, after) for c in letters])
+            if p.max() < FILL * p.sum() or p.max() < 1e-7:
                 return None
             name = name[:at] + letters[int(p.argmax())] + name[at + 1 :]
         return name
 
     def _two(self, before: str, after: str, letters: list[str]) -> str | None:
         low = [c for c in letters if c == c.lower()]
-        first = np.array([self.log[_bucket(before, c)] for c in low])
-        last = np.array([self.log[_bucket(c, after)] for c in low])
-        p = np.exp(first[:, None] + last[None, :] + np.array([[self.log[_bucket(a, b)] for b in low] for a in low]))
+        first = np.array([self.chance(before, c) for c in low])
+        last = np.array([self.chance(c, after) for c in low])
+        p = np.exp(first[:, None] + last[None, :] + np.array([[self.chance(a, b) for b in low] for a in low]))
         if p.max() < FILL * p.sum():
             return None
         i, j = np.unravel_index(int(p.argmax()), p.shape)
@@ -142,10 +153,12 @@ class Model:
 
 
 def _decoded(seq: str) -> str:
+    """The letter of a byte sequence; the sequence where it is none, or no assigned one."""
     try:
-        return bytes(ord(c) - _BASE for c in seq).decode("utf-8")
+        letter = bytes(ord(c) - _BASE for c in seq).decode("utf-8")
     except UnicodeDecodeError:
         return seq
+    return seq if unicodedata.category(letter) in ("Cc", "Cn", "Co", "Cs") else letter
 
 
 def _narrow(wide: str) -> str:
@@ -180,6 +193,7 @@ def _bigram_counts(names: DataFrame, model: Model | None) -> np.ndarray:
                 t = "^" + _lower(name) + "$"
                 for a, b in zip(t, t[1:], strict=False):
                     total[_bucket(a, b)] += 1
+                    total[_bucket(ANY, a)] += 1
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
@@ -215,7 +229,7 @@ def _expected(names: DataFrame, model: Model) -> list[tuple[str, str, int, float
                     weight = {}
                     for b in range(0x80, 0xC0):
                         try:
-                            weight[b] = float(np.exp(model.log[_bucket(before, bytes([*lead, b]).decode("utf-8"))]))
+                            weight[b] = float(np.exp(model.chance(before, bytes([*lead, b]).decode("utf-8"))))
                         except UnicodeDecodeError:
                             continue
                     norm = sum(weight.values())
