@@ -51,7 +51,7 @@ def sections(located: DataFrame, names: tuple[str, ...] = SECTIONS) -> DataFrame
 
 def _depth(text: Column) -> Column:
     """Deepest nesting of brackets in a JSON text, strings aside."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
     state = F.aggregate(
         F.split(brackets, ""),
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
