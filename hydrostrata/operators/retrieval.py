@@ -20,8 +20,10 @@ def bm25(documents: DataFrame, queries: DataFrame, doc_id: str, text: str, query
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_length")).first()
-    terms = docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # only terms that a query holds are counted; all documents are
+    words = docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean_length"] or 1.0)))

@@ -38,17 +38,20 @@ def category_rank(name: Column) -> Column:
     return out
 
 
-def _facts(orders: DataFrame, key: str, parent: str) -> DataFrame:
-    """Yearly metrics per ``key``; the stage is the total against the parent's mean of that year."""
+def _facts(orders: DataFrame, lines: DataFrame, key: str, parent: str) -> DataFrame:
+    """Yearly metrics per ``key``; the stage is the total against the parent's mean of that year.
+
+    The quantity is joined last and on distinct keys, so the optimizer drops the join where it is not asked for.
+    """
+    quantity = orders.join(lines, "o_orderkey").groupBy(key, "assessment_year").agg(F.sum("quantity").alias("quantity"))
     sums = orders.groupBy(key, parent, "assessment_year").agg(
         F.round(F.sum("o_totalprice"), 2).alias("total"),
         F.count("*").alias("n_orders"),
         F.round(F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).otherwise(0.0)), 2).alias("urgent"),
-        F.sum("quantity").alias("quantity"),
     )
     mean = F.avg("total").over(Window.partitionBy(parent, "assessment_year"))
     staged = sums.withColumn("stage", F.round(F.try_divide(100 * F.col("total"), mean), 2))
-    return staged.withColumn("category", category(F.col("stage")))
+    return staged.withColumn("category", category(F.col("stage"))).join(quantity, [key, "assessment_year"], "left")
 
 
 def star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -59,14 +62,14 @@ def star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     units = customer.select(F.col("c_custkey").alias("unit_id"), F.col("c_name").alias("unit_name"), F.col("c_nationkey").cast("long").alias("district_id"), F.col("c_mktsegment").alias("unit_type"))
     quantity = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"))
     located = (
-        orders.withColumn("assessment_year", cycle(F.col("o_orderdate"))).join(quantity, "o_orderkey", "left")
+        orders.withColumn("assessment_year", cycle(F.col("o_orderdate")))
         .join(units, F.col("o_custkey") == F.col("unit_id")).join(districts.drop("district_name"), "district_id").withColumn("country", F.lit(1))
     )
     return {
         "states": states, "districts": districts, "units": units,
-        "unit_facts": _facts(located, "unit_id", "district_id").drop("district_id"),
-        "district_facts": _facts(located, "district_id", "state_id").drop("state_id"),
-        "state_facts": _facts(located, "state_id", "country").drop("country"),
+        "unit_facts": _facts(located, quantity, "unit_id", "district_id").drop("district_id"),
+        "district_facts": _facts(located, quantity, "district_id", "state_id").drop("state_id"),
+        "state_facts": _facts(located, quantity, "state_id", "country").drop("country"),
         "granularity": located.groupBy("state_id", "assessment_year", "unit_type").agg(F.countDistinct("unit_id").alias("n_units")),
         "years": located.select("assessment_year").distinct(),
     }
