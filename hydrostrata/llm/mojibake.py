@@ -177,77 +177,85 @@ def _initial() -> Model:
     return Model(np.zeros(BUCKETS), {p: page_table(p) for p in PAGES}, {CLEAN: 0.9} | dict.fromkeys((*PAGES, UTF16), 0.1 / (len(PAGES) + 1)))
 
 
-def _bigram_counts(names: DataFrame, model: Model | None) -> np.ndarray:
-    """Bigrams of the names as ``model`` reads them; without one, of names nothing is suspected of."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, total = _initial(), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for name in batch["name"]:
-                if model is None:
-                    if not name.isascii() and _suspect(name, start):
-                        continue
-                elif not name.isascii():
-                    name = model.best(name)[1]
-                    if LOST in name:
-                        continue
-                t = "^" + _lower(name) + "$"
-                for a, b in zip(t, t[1:], strict=False):
-                    total[_bucket(a, b)] += 1
-                    total[_bucket(ANY, a)] += 1
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
-
-    rows = names.mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def _expected(names: DataFrame, model: Model) -> list[tuple[str, str, int, float]]:
-    """E-step: expected counts (source, symbol, byte, weight); symbol '' holds the source's own weight."""
+def _bigrams(texts: list[str]) -> np.ndarray:
+    """Counts of the bigrams of names, and of every character under ``ANY``, by bucket."""
+    if not texts:
+        return np.zeros(BUCKETS, np.int64)
+    c = np.frombuffer("".join(f"^{_lower(t)}$" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    a, b = c[:-1], c[1:]
+    inside = a != ord("$")
+    pairs = (a * 40503 + b * 2654435) % BUCKETS
+    alone = (ord(ANY) * 40503 + a * 2654435) % BUCKETS
+    return np.bincount(pairs[inside], minlength=BUCKETS) + np.bincount(alone[inside], minlength=BUCKETS)
+
+
+def _counted(names: DataFrame, model: Model | None) -> tuple[list[tuple[str, str, int, float]], np.ndarray]:
+    """One pass over all names: expected counts (source, symbol, byte, weight) and bigrams, as ``model`` reads them.
+
+    A source's own weight has symbol ''. Without a model only the bigrams of unsuspicious names are counted.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = model or _initial()
         total: Counter = Counter()
+        bigrams = np.zeros(BUCKETS, np.int64)
         for batch in batches:
+            plain = [n for n in batch["name"] if n.isascii()]
+            total[CLEAN, "", 0] += len(plain)
             for name in batch["name"]:
                 if name.isascii():
-                    total[CLEAN, "", 0] += 1.0
                     continue
-                source, _, p = model.best(name)
-                total[source, "", 0] += p
-                if source in (CLEAN, UTF16):
+                if model is None:
+                    if not _suspect(name, reader):
+                        plain.append(name)
                     continue
-                mapped = name.translate(model.maps[source])
-                for m in _SEQUENCE.finditer(mapped):
-                    for k in range(m.start(), m.end()):
-                        total[source, name[k], ord(mapped[k]) - _BASE] += p
-                for m in _HOLE.finditer(mapped):
-                    k = m.end() - 1
-                    if name[k] == LOST:
-                        continue
-                    lead = [ord(c) - _BASE for c in m.group()[:-1]]
-                    before = ("^" + _lower(name))[m.start()]
-                    weight = {}
-                    for b in range(0x80, 0xC0):
-                        try:
-                            weight[b] = float(np.exp(model.chance(before, bytes([*lead, b]).decode("utf-8"))))
-                        except UnicodeDecodeError:
-                            continue
-                    norm = sum(weight.values())
-                    for b, w in weight.items():
-                        if w > 0.02 * norm:
-                            total[source, name[k], b] += p * w / norm
-        yield pd.DataFrame([(s, x, b, w) for (s, x, b), w in total.items()], columns=["source", "symbol", "byte", "weight"])
-
-    rows = names.mapInPandas(run, "source string, symbol string, byte int, weight double").groupBy("source", "symbol", "byte").agg(F.sum("weight").alias("weight"))
-    return [tuple(r) for r in rows.collect()]
+                source, restored, p = reader.best(name)
+                if LOST not in restored:
+                    plain.append(restored)
+                total[source, "", 0] += p
+                if source not in (CLEAN, UTF16):
+                    _vote(total, name, source, p, reader)
+            bigrams += _bigrams(plain)
+        used = np.flatnonzero(bigrams)
+        rows = [(s, x, b, w) for (s, x, b), w in total.items()] + [("", "", int(k), float(bigrams[k])) for k in used]
+        yield pd.DataFrame(rows, columns=["source", "symbol", "byte", "weight"])
+
+    rows = names.mapInPandas(run, "source string, symbol string, byte int, weight double").groupBy("source", "symbol", "byte").agg(F.sum("weight").alias("weight")).toPandas()
+    own = rows["source"] == ""
+    bigrams = np.zeros(BUCKETS)
+    bigrams[rows.loc[own, "byte"].to_numpy()] = rows.loc[own, "weight"].to_numpy()
+    return list(rows.loc[~own].itertuples(index=False, name=None)), bigrams
+
+
+def _vote(total: Counter, name: str, source: str, p: float, model: Model) -> None:
+    """Expected counts of one garbled name: its symbols' bytes, and bytes for a symbol the cipher lacks."""
+    mapped = name.translate(model.maps[source])
+    for m in _SEQUENCE.finditer(mapped):
+        for k in range(m.start(), m.end()):
+            total[source, name[k], ord(mapped[k]) - _BASE] += p
+    for m in _HOLE.finditer(mapped):
+        k = m.end() - 1
+        if name[k] == LOST:
+            continue
+        lead = [ord(c) - _BASE for c in m.group()[:-1]]
+        before = ("^" + _lower(name))[m.start()]
+        weight = {}
+        for b in range(0x80, 0xC0):
+            try:
+                weight[b] = float(np.exp(model.chance(before, bytes([*lead, b]).decode("utf-8"))))
+            except UnicodeDecodeError:
+                continue
+        norm = sum(weight.values())
+        for b, w in weight.items():
+            if w > 0.02 * norm:
+                total[source, name[k], b] += p * w / norm
 
 
 def fit(names: DataFrame, iterations: int = ITERATIONS) -> Model:
     """The model learnt by EM from all rows of ``names`` (one string column ``name``, no nulls)."""
     model = _initial()
-    model = Model(_bigram_counts(names, None), model.ciphers, model.shares)
+    model = Model(_counted(names, None)[1], model.ciphers, model.shares)
     for _ in range(iterations):
-        counts = _expected(names, model)
+        counts, bigrams = _counted(names, model)
         weight = {s: w for s, x, _, w in counts if not x}
         total = sum(weight.values()) or 1.0
         ciphers = {}
@@ -256,13 +264,11 @@ def fit(names: DataFrame, iterations: int = ITERATIONS) -> Model:
             for s, x, b, w in counts:
                 if s == page and x:
                     votes.setdefault(x, Counter())[b] += w
-            prior = page_table(page)
-            for x, b in prior.items():
+            for x, b in page_table(page).items():
                 votes.setdefault(x, Counter())[b] += 1.0
             ciphers[page] = {x: v.most_common(1)[0][0] for x, v in votes.items() if v.total() >= 1.0 and v.most_common(1)[0][1] >= 0.5 * v.total()}
         shares = {s: (weight.get(s, 0.0) + 0.5) / (total + 0.5 * (len(PAGES) + 2)) for s in (CLEAN, UTF16, *PAGES)}
-        model = Model(model.bigrams, ciphers, shares)
-        model = Model(_bigram_counts(names, model), ciphers, shares)
+        model = Model(bigrams, ciphers, shares)
     return model
 
 
