@@ -39,7 +39,7 @@ REACH = 0.25
 NONE = -1
 #: Weight of the voiceless form's cosine; 1 for scripts that do not write voice.
 VOICELESS = 0.4
-SCHEMA = "mention string, context string, entity_id long, name string, score double, slips int, fit int, runner_up double"
+SCHEMA = "mention string, context string, entity_id long, name string, score double, slips int, fit int, rating int, runner_up double"
 _VOICELESS_SCRIPT = re.compile("[\u0b80-\u0bff]")
 
 
@@ -98,10 +98,10 @@ class GazetteerIndex:
         return 4 * (level == of) - 4 * (level is not None and level != of) + 2 * (state in states) - 2 * bool(states and state not in states) + inside - bool(districts and district and not inside)
 
     def answer(self, mention: str, states: list[str], districts: list[str]) -> tuple:
-        """(entity_id, name, score, slips, fit decides, score of the best other name as near)."""
+        """(entity_id, name, score, slips, whether fit decides, fit, score of the best other name as near)."""
         bare, level = strip_levels(mention)
         spoken, plain, written = forms(bare)
-        nothing = (NONE, None, 0.0, 9, 0, 0.0)
+        nothing = (NONE, None, 0.0, 9, 0, 0, 0.0)
         if not spoken or not self.forms:
             return nothing
         mute = _VOICELESS_SCRIPT.search(bare) is not None
@@ -128,7 +128,7 @@ class GazetteerIndex:
         name = self.entries[best][4][0]
         rivals = [e for e in near if self.entries[e][4][0] != name]
         decided = rated[best] > max((rated[e] for e in rivals if e in rated), default=-99)
-        return self.entries[best][0], name, near[best], least, int(decided), max((near[e] for e in rivals), default=0.0)
+        return self.entries[best][0], name, near[best], least, int(decided), rated[best], max((near[e] for e in rivals), default=0.0)
 
 
 def _idf(gazetteer: DataFrame) -> tuple[dict[str, float], float]:
@@ -174,15 +174,22 @@ def map_mentions(mentions: DataFrame, gazetteer: DataFrame, accept: tuple[float,
                 for mention, context in zip(batch["mention"], batch["context"], strict=True):
                     c = json.loads(context)
                     out.append((mention, context, *index.answer(mention, c.get("states") or [], c.get("districts") or [])))
-                yield pd.DataFrame(out, columns=["mention", "context", "entity_id", "name", "score", "slips", "fit", "runner_up"])
+                yield pd.DataFrame(out, columns=["mention", "context", "entity_id", "name", "score", "slips", "fit", "rating", "runner_up"])
 
         one = distinct.mapInPandas(run, SCHEMA)
         answers = one if answers is None else answers.unionByName(one)
     if blocks > 1:
-        best = F.max_by(F.struct("entity_id", "name", "score", "slips", "fit", "runner_up"), F.struct(-F.col("slips"), F.col("score"), F.col("fit")))
-        merged = answers.groupBy("mention", "context").agg(best.alias("b"), F.collect_list(F.struct("name", "score", "slips")).alias("all"))
-        other = F.array_max(F.transform(F.filter("all", lambda x: (x["name"] != F.col("b.name")) & (x["slips"] == F.col("b.slips"))), lambda x: x["score"]))
-        answers = merged.select("mention", "context", "b.entity_id", "b.name", "b.score", "b.slips", "b.fit", F.greatest("b.runner_up", F.coalesce(other, F.lit(0.0))).alias("runner_up"))
+        every = answers.groupBy("mention", "context").agg(F.collect_list(F.struct("entity_id", "name", "score", "slips", "fit", "rating", "runner_up")).alias("all"))
+        near = every.withColumn("all", F.filter("all", lambda x: x["slips"] == F.array_min(F.transform("all", lambda y: y["slips"]))))
+        close = F.filter("all", lambda x: x["score"] >= F.array_max(F.transform("all", lambda y: y["score"])) - MARGIN)
+        best = F.array_max(F.transform(close, lambda x: F.struct(x["rating"], x["score"], -x["entity_id"], x.alias("x"))))["x"]
+        chosen = near.withColumn("close", close).withColumn("b", best)
+        others = F.filter("all", lambda x: ~x["name"].eqNullSafe(F.col("b.name")))
+        beaten = F.forall(F.filter("close", lambda x: ~x["name"].eqNullSafe(F.col("b.name"))), lambda x: x["rating"] < F.col("b.rating"))
+        answers = chosen.select(
+            "mention", "context", "b.entity_id", "b.name", "b.score", "b.slips", ((F.col("b.fit") == 1) & beaten).cast("int").alias("fit"),
+            F.greatest("b.runner_up", F.coalesce(F.array_max(F.transform(others, lambda x: x["score"])), F.lit(0.0))).alias("runner_up"),
+        )
     least = F.element_at(F.array(*map(F.lit, accept)), F.least(F.col("slips"), F.lit(len(accept) - 1)) + 1)
     reason = (
         F.when(F.col("entity_id") == NONE, "no name").when(F.col("score") < least, "below threshold")

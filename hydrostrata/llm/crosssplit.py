@@ -195,8 +195,9 @@ def lexicon(parsed: DataFrame, counts: DataFrame) -> Lexicon:
     rows = parsed.groupBy("language").agg(F.count("*").alias("all_rows"))
     common = counts.join(rows, "language").where((F.col("rows") >= F.greatest(F.lit(LEAST), F.col("all_rows") * COMMON)) & ~F.col("word").rlike(r"^\d+$"))
     place = F.coalesce(F.col("place_top") >= PURE * F.col("placed"), F.lit(True)) & (F.coalesce(F.col("placed"), F.lit(0)) < 0.5 * F.col("all_rows"))
-    unseen = F.coalesce(F.col("placed"), F.lit(0)) < 2
-    kind = F.when(F.col("word").isin(*CATEGORIES), "m").when(place | unseen, "p").when(F.col("measure") >= 0.9, "m").otherwise("w")
+    # a word that labelled rows do not tell of is left out: content, unless a slip of a word that is in
+    common = common.where((F.coalesce(F.col("placed"), F.lit(0)) >= 2) | F.col("word").isin(*CATEGORIES))
+    kind = F.when(F.col("word").isin(*CATEGORIES), "m").when(place, "p").when(F.col("measure") >= 0.9, "m").otherwise("w")
     return Lexicon([tuple(r) for r in common.select("language", "word", kind).collect()])
 
 
