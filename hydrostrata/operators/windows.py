@@ -91,9 +91,13 @@ def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
 
 def word_spans(text: Column, most: int = 3) -> Column:
     """All runs of one to ``most`` words as array<struct<start, stop, span>> (word positions)."""
+    def runs(words: Column, n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: i + n <= F.size(words))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("span")))
+
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    each = [F.transform(F.filter(F.sequence(F.lit(0), F.size(words)), lambda i, n=n: i + n <= F.size(words)), lambda i, n=n: F.struct(i.alias("start"), (i + n).alias("stop"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("span"))) for n in range(1, most + 1)]
-    return F.concat(*each)
+    # the words are bound once: as a plain expression they would be split again for every span
+    return F.transform(F.array(words), lambda w: F.concat(*[runs(w, n) for n in range(1, most + 1)]))[0]
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrostrata.functions import grounding, text
-from hydrostrata.operators import audit, crosswalk, etl, evaluate, lexical, retrieval, windows
+from hydrostrata.operators import audit, crosswalk, etl, evaluate, lexical, places, retrieval, windows
 from hydrostrata.plans.star import STAR_SQL, star
+from hydrostrata.session import checkpointed
 from hydrostrata.sources.tables import table
 from hydrostrata.streaming import cycles
 
@@ -365,3 +366,76 @@ def t1_top_k(spark, folder):
 @query()
 def t8_hash_sample(spark, folder):
     return windows.hash_sample(table(spark, folder, "orders").select("o_orderkey"), 100, 7, "o_orderkey")
+
+
+def _mentions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "errors_sample").dropDuplicates(["mention_id"])
+    latin = rows.where(F.col("mention").rlike(r"^[\x20-\x7e]+$"))
+    return latin.select("mention_id", text.phonetic_fold(F.col("mention")).alias("form"), "context.states", "context.districts", "gold", "gold_level").where("form <> ''")
+
+
+@query()
+def r6_gazetteer_scan(spark, folder):
+    rows = table(spark, folder, "ingres_bench_v1").where("language = 'english'").dropDuplicates(["id"])
+    known = rows.select(F.explode("entities").alias("e")).select(F.col("e.db_name").alias("db_name"), F.col("e.display").alias("display"), F.col("e.type").alias("level")).distinct()
+    gazetteer = known.select(F.xxhash64("level", "db_name").alias("entity_id"), "level", "db_name", "display", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("array<string>").alias("aliases"))
+    return places.scan(rows, places.alias_table(gazetteer), "id", "question")
+
+
+@query()
+def r9_candidates(spark, folder):
+    found = places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")), 5)
+    return found.select("mention_id", "entity_id", F.round("gram_score", 4).alias("gram_score"))
+
+
+@query()
+def r11_resolver(spark, folder):
+    """Entities of mentions by a logistic ranker fitted on the labelled ones."""
+    found = checkpointed(places.features(places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")), 10)))
+    labelled = found.where("gold is not null").withColumn("right", (F.col("gold") == F.col("db_name")) & (F.col("gold_level") == F.col("level")))
+    model = places.fit_ranker(labelled, "right", 50_000)
+    return places.resolve(found, model, 1).select("mention_id", "entity_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def r12_place_links(spark, folder):
+    rows = table(spark, folder, "documents").where("lang = 'en' and text is not null").select("doc_id", "text")
+    return places.link(rows, table(spark, folder, "gazetteer").where("level = 'state'"), "doc_id", "text")
+
+
+@query()
+def e14_error_categories(spark, folder):
+    rows = table(spark, folder, "ingres_bench_v1").where("sql is not null")
+    # a predicted statement: the labelled one of another cycle for a third of the rows, none for some
+    turn = F.pmod(F.xxhash64("id"), F.lit(3))
+    predicted = F.when(turn == 0, F.regexp_replace("sql", r"\d{4}-\d{4}", "2019-2020")).when(turn == 1, F.col("sql"))
+    kind = evaluate.error_category(F.lit(None).cast("string"), predicted, F.col("sql"), F.expr("transform(filter(entities, e -> e.type = 'district'), e -> e.db_name)"))
+    return rows.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT language, coalesce(sum((split = 'dev')::INT), 0)::BIGINT AS dev, coalesce(sum((split = 'test')::INT), 0)::BIGINT AS test FROM ingres_bench_v1 GROUP BY 1")
+def d10_pivot_by_split(spark, folder):
+    return table(spark, folder, "ingres_bench_v1").groupBy("language").pivot("split", ["dev", "test"]).count().fillna(0)
+
+
+@query("SELECT id, len(list_filter(entities, lambda e: coalesce(e.ambiguous_name, false))) > 0 AS ambiguous FROM (SELECT DISTINCT id, entities FROM ingres_bench_v1 WHERE entities IS NOT NULL) t")
+def f19_exists_in_structs(spark, folder):
+    rows = table(spark, folder, "ingres_bench_v1").where("entities is not null").select("id", F.exists("entities", lambda e: F.coalesce(e["ambiguous_name"], F.lit(False))).alias("ambiguous"))
+    return rows.distinct()
+
+
+@query("SELECT d.district_name, count(*)::BIGINT AS n, sum((f.category IN ('Critical', 'Over-Exploited'))::INT)::BIGINT AS stressed FROM s_unit_facts f JOIN s_units u USING (unit_id) JOIN s_districts d USING (district_id) GROUP BY 1 HAVING sum((f.category IN ('Critical', 'Over-Exploited'))::INT) * 2 > count(*)", model=True)
+def a07_having(spark, folder):
+    t = star(spark, folder)
+    joined = t["unit_facts"].join(t["units"], "unit_id").join(t["districts"], "district_id")
+    return joined.groupBy("district_name").agg(F.count("*").alias("n"), F.count_if(F.col("category").isin("Critical", "Over-Exploited")).alias("stressed")).where(F.col("stressed") * 2 > F.col("n"))
+
+
+@query()
+def e09_entity_pool(spark, folder):
+    """A stratified pool: three units of every district, first those seen in most cycles, names not ambiguous."""
+    rows = table(spark, folder, "crosswalk_fuzzy_review_sample").where("canonical_name is not null and district_name is not null")
+    per = rows.groupBy("canonical_id", "canonical_name", "district_name").agg(F.countDistinct("assessment_year").alias("cycles"))
+    single = audit.ambiguous_names(per, "canonical_name", "district_name").select(F.col("name").alias("canonical_name"))
+    kept = per.withColumn("canonical_name", F.upper(F.trim("canonical_name"))).join(single, "canonical_name", "left_anti")
+    return windows.top_per_key(kept, ["district_name"], 3, F.desc("cycles"), "canonical_name", "canonical_id")
