@@ -150,11 +150,13 @@ class Lexicon:
             return "c", word
         if kind:
             return kind, word
-        if len(word) >= 4:
+        if len(word) >= 3:
             close = {w for form in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} for w in self.near.get((lang, form), ()) if slip(word, w)}
-            known = [w for w in close if self.classes[lang, w] != "p"]
-            if len(known) == 1 and len(close) == 1:
-                return self.classes[lang, known[0]], known[0]
+            kinds = {self.classes[lang, w] for w in close}
+            if kinds == {"w"}:
+                return "w", word
+            if len(close) == 1 and kinds == {"m"}:
+                return "m", close.pop()
         return "c", word
 
 
