@@ -439,3 +439,53 @@ def e09_entity_pool(spark, folder):
     single = audit.ambiguous_names(per, "canonical_name", "district_name").select(F.col("name").alias("canonical_name"))
     kept = per.withColumn("canonical_name", F.upper(F.trim("canonical_name"))).join(single, "canonical_name", "left_anti")
     return windows.top_per_key(kept, ["district_name"], 3, F.desc("cycles"), "canonical_name", "canonical_id")
+
+
+@query("SELECT assessment_year, upper(trim(coalesce(c.canonical_name, x.name_in_year))) AS name, count(*)::BIGINT AS n FROM crosswalk_fuzzy_review_sample x LEFT JOIN (SELECT DISTINCT review_id, canonical_name FROM crosswalk_fuzzy_review_sample WHERE label = 'correct') c USING (review_id) GROUP BY 1, 2")
+def e03_canonicalise(spark, folder):
+    """Names replaced by the canonical one where a review says so, as ids are by a crosswalk."""
+    rows = table(spark, folder, "crosswalk_fuzzy_review_sample")
+    reviewed = rows.where("label = 'correct'").select("review_id", "canonical_name").distinct()
+    named = rows.drop("canonical_name").join(reviewed, "review_id", "left").select("assessment_year", F.upper(F.trim(F.coalesce("canonical_name", "name_in_year"))).alias("name"))
+    return named.groupBy("assessment_year", "name").agg(F.count("*").alias("n"))
+
+
+@query()
+def e17_wrong_numbers_are_told(spark, folder):
+    """Share of perturbed texts whose numbers no longer follow from the original's."""
+    rows = table(spark, folder, "documents").where("text is not null and lang = 'en'").select("doc_id", F.substring_index("text", ".", 2).alias("t"))
+    both = rows.withColumn("other", lexical.perturbed(F.col("t"), F.col("doc_id"))).where("t <> other")
+    mine, theirs = grounding.stated_numbers("t"), grounding.stated_numbers("other")
+    told = F.exists("b", lambda v: ~F.exists("a", lambda r: F.abs(v - r) <= F.greatest(F.lit(1e-9), 0.005 * F.abs(r))))
+    return both.select(mine.alias("a"), theirs.alias("b")).where("size(a) > 0").agg(F.count("*").alias("n"), F.round(F.avg(told.cast("int")), 4).alias("told"))
+
+
+@query()
+def r4_schema_elements(spark, folder):
+    """The schema as retrievable texts: one element per table and column, ranked for every question by BM25."""
+    parts = [(f"{t}.{c}", f"{t} {c} {k}".replace("_", " ")) for t, df in star(spark, folder).items() for c, k in df.dtypes]
+    elements = spark.createDataFrame(parts, "key string, text string")
+    asked = spark.createDataFrame([(1, "stage category of a unit in a year"), (2, "district name of a state"), (3, "urgent total")], "query_id int, query string")
+    found = retrieval.bm25(elements, asked, "key", "text", "query_id", "query")
+    return windows.top_per_key(found, ["query_id"], 5, F.desc("score"), "doc_id").select("query_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def r20_training_pairs(spark, folder):
+    """(question, column, right): each labelled question with its column and with a confusable one of the same intent."""
+    rows = table(spark, folder, "ingres_bench_v1").where("split = 'train' and columns is not null").dropDuplicates(["id"]).select("id", "intent", "question", F.col("columns")[0].alias("column"))
+    options = rows.groupBy("intent").agg(F.array_sort(F.collect_set("column")).alias("all"))
+    joined = rows.join(options, "intent").withColumn("others", F.array_except("all", F.array("column")))
+    hard = joined.where("size(others) > 0").select("id", "question", F.element_at("others", (F.pmod(F.xxhash64("id"), F.size("others").cast("long")) + 1).cast("int")).alias("column"), F.lit(False).alias("right"))
+    return rows.select("id", "question", "column", F.lit(True).alias("right")).unionByName(hard)
+
+
+@query()
+def e10_generated_items(spark, folder):
+    """Question items of a template with their results: a unit of every district and a cycle by hash, results valid and given."""
+    t = star(spark, folder)
+    sampled = windows.top_per_key(t["units"], ["district_id"], 2, F.xxhash64("unit_id"), "unit_id")
+    facts = t["unit_facts"].where("total is not null").join(sampled, "unit_id", "left_semi")
+    one = windows.top_per_key(facts, ["unit_id"], 1, F.xxhash64("unit_id", "assessment_year"), "assessment_year").join(t["units"], "unit_id")
+    item = F.format_string("What was the total of %s in %s?", "unit_name", "assessment_year")
+    return audit.hash_split(one.select(F.col("unit_id").alias("id"), item.alias("question"), F.round("total", 2).alias("gold")), "id", {"train": 0.6, "dev": 0.2, "test": 0.2})

@@ -76,6 +76,9 @@ TEMPLATES: dict[str, str] = {
     # operator shapes not reached by the questions above
     "f06_not_in_subquery": "SELECT count(*) AS n FROM s_units u WHERE u.unit_id NOT IN (SELECT f.unit_id FROM s_unit_facts f WHERE f.assessment_year = :year AND f.unit_id IS NOT NULL) AND u.district_id IN (SELECT d.district_id FROM s_districts d)",
     "f13_upper_equality": "SELECT count(*) AS n FROM s_states WHERE upper(state_name) = upper(:state)",
+    "f14_equal_without_case": "SELECT count(*) AS n FROM s_states WHERE lower(state_name) = lower(:state)",
+    "f17_tautology": "SELECT count(*) AS n FROM s_districts WHERE 1 = 1",
+    "j07_using": "SELECT s.state_name, count(*) AS n FROM s_districts d JOIN s_states s USING (state_id) GROUP BY 1",
     "f15_like_ignoring_case": "SELECT unit_id, unit_name FROM s_units WHERE unit_name ILIKE :like",
     "f16_label_range": "SELECT count(*) AS n FROM s_unit_facts WHERE assessment_year >= :first AND assessment_year < :last",
     "j08_left_join_condition": "SELECT u.unit_type, count(*) AS n, count(f.unit_id) AS n_worst FROM s_units u LEFT JOIN s_unit_facts f ON f.unit_id = u.unit_id AND f.assessment_year = :year AND f.category = :category GROUP BY u.unit_type",
