@@ -37,10 +37,32 @@ DIRECTION = {"same": 1.5, "both none": 0.3, "one none": -3.0, "differ": -9.0}
 DISTRICT = {"same": 4.0, "near": 3.0, "missing": 0.0, "differ": -4.0}
 STATE = {"same": 1.0, "missing": 0.0, "differ": -4.0}
 AREA = {"same": 2.5, "missing": 0.0, "near": -2.0, "differ": -4.0}
+#: First letters by which an abbreviated name meets whole ones.
+SHORT = 5
 #: Pairs below these log odds cannot become matches and are left out of the graph.
 FLOOR = -3.0
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
-_DIRECTIONS = {"north": "n", "south": "s", "east": "e", "west": "w", "uttar": "n", "dakshin": "s"}
+#: Words that set a unit apart from one of the same name.
+_DIRECTIONS = {"north": "n", "south": "s", "east": "e", "west": "w", "uttar": "n", "dakshin": "s", "rural": "rural", "urban": "urban", "town": "town", "city": "city", "sadar": "sadar"}
+_SOUNDED = {sound(w): d for w, d in _DIRECTIONS.items()}
+
+
+def _direction(word: str) -> str | None:
+    """What a word sets apart by, spelt with at most one slip; None for other words."""
+    if word in _DIRECTIONS:
+        return _DIRECTIONS[word]
+    form = sound(latin(word))
+    near = {d for w, d in _SOUNDED.items() if len(form) > 2 and slips(form, w, 1) <= 1}
+    return near.pop() if len(near) == 1 else None
+
+
+def _loose_ordinal(text: str) -> str:
+    """A name with an ordinal whose hyphen was lost or swapped, written with the hyphen."""
+    text = re.sub(r"[iI]-$", "-I", text.strip())
+    if m := re.search(r"(?<=[a-hj-z])i{2,3}$", text, re.I):
+        cut = m.start() + (text[m.start() - 1].lower() in "aeou" or (len(m.group()) == 3 and text[m.start() - 1].lower() == "l"))
+        return f"{text[:cut]}-{text[cut:]}"
+    return text
 PARSED = "id string, year int, key_id string, core string, written string, ordinal int, direction string, cut boolean, district string, district_cut boolean, state string, state_cut boolean, area double"
 
 
@@ -48,13 +70,13 @@ def read_name(text: str | None) -> tuple[str, str, int | None, str | None, bool]
     """(sound form, Latin spelling, ordinal, direction, whether abbreviated) of a unit's name."""
     if not text or not text.strip():
         return "", "", None, None, False
-    bare, _ = strip_levels(re.sub(r"[()\[\]]", " ", text).replace("-", " ").replace(",", " "))
+    bare, _ = strip_levels(re.sub(r"[()\[\]]", " ", _loose_ordinal(text)).replace("-", " ").replace(",", " "))
     ordinal = direction = None
     cut, kept = False, []
     for w in bare.split():
         low = w.lower().strip(".")
-        if low in _DIRECTIONS:
-            direction = _DIRECTIONS[low]
+        if low in _DIRECTIONS or (kept and not w.endswith(".") and _direction(low)):
+            direction = _direction(low)
         elif kept and low in ("n", "s", "e", "w"):
             direction = low
         elif kept and (low.replace("ee", "i") in _ROMAN or low.isdigit()):
@@ -90,13 +112,18 @@ def _key(kind: str, year: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}\0{year}\0{text}") - (1 << 63)
 
 
-def blocking_keys(core: str, written: str, year: int, district: str) -> list[int]:
-    """Keys of a name: each of its two forms, whole and with one letter left out; its start within its district."""
+def blocking_keys(core: str, written: str, year: int, district: str, short: bool) -> list[int]:
+    """Keys of a name: each of its two forms, whole and with one letter left out; its start within its district.
+
+    ``short``: also its first letters, by which abbreviated names meet whole ones of any district.
+    """
     out = set()
     for kind, form in (("sound", core), ("written", written)):
         out.add(_key(kind, year, form))
         if len(form) > 3:
             out.update(_key(kind, year, form[:k] + form[k + 1 :]) for k in range(len(form)))
+    if short:
+        out.add(_key("short", year, core[:SHORT]))
     if district:
         out.add(_key("start", year, f"{district}\0{core[:3]}"))
     return sorted(out)
@@ -134,11 +161,11 @@ def log_odds(x: tuple, y: tuple) -> float:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(entity, year, record, score): log odds of the best-agreeing rows of every candidate pair."""
-    keys = F.pandas_udf(lambda c, w, y, d: pd.Series([blocking_keys(*x) for x in zip(c, w, y, d, strict=True)]), "array<long>")
+    keys = F.pandas_udf(lambda c, w, y, d, s: pd.Series([blocking_keys(*x) for x in zip(c, w, y, d, s, strict=True)]), "array<long>")
     columns = ["core", "ordinal", "direction", "cut", "district", "district_cut", "state", "state_cut", "area", "written"]
 
     def side(df: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-        keyed = df.select(F.col("key_id").alias(f"{tag}_key"), F.explode(keys("core", "written", "year", "district")).alias("key"))
+        keyed = df.select(F.col("key_id").alias(f"{tag}_key"), F.explode(keys("core", "written", "year", "district", F.lit(True) if tag == "entity" else F.col("cut"))).alias("key"))
         return keyed, df.select(F.col("key_id").alias(f"{tag}_key"), F.col("id").alias(tag), *(["year"] if tag == "entity" else []), F.struct(*columns).alias(f"{tag}_row")).dropDuplicates([f"{tag}_key"])
 
     (a, a_rows), (b, b_rows) = side(left, "entity"), side(right, "record")
