@@ -269,7 +269,7 @@ def e02_crosswalk(spark, folder):
     rows = table(spark, folder, "crosswalk_fuzzy_review_sample").where("name_in_year is not null and district_name is not null")
     cycle = F.regexp_extract("assessment_year", r"^(\d{4})", 1)
     located = rows.select(cycle.alias("year"), F.concat_ws("/", "canonical_id", cycle).alias("id"), F.col("name_in_year").alias("name"), F.col("state_name").alias("state_id"), F.lower("district_name").alias("parent"), F.lit("BLOCK").alias("unit_type"))
-    return crosswalk.crosswalk(located.where(cycle >= "2024"))
+    return crosswalk.crosswalk(located)
 
 
 @query()
