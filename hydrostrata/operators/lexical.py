@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from hydrostrata.functions.grounding import number_places
+from hydrostrata.functions.text import INDIC_DIGITS
+
 #: Romanised Hindi function words.
 HINDI_WORDS = (
     "ka ki ke mein me mei se tak aur ya hai hain tha thi the kya kitna kitni kitne kaunsa kaunse kaun kis kab ko ne bhi par pe liye wale wala wali ke hisaab batao do karo "
@@ -94,11 +97,19 @@ def mistyped(texts: pd.Series, seeds: pd.Series) -> pd.Series:
     return pd.Series([one(t, s) for t, s in zip(texts, seeds, strict=True)], dtype="object")
 
 
-def perturbed(text: Column, seed: Column) -> Column:
-    """``text`` with the digits of its first number turned to others: a wrong number for sensitivity tests."""
-    number = F.regexp_extract(text, r"(\d[\d,.]*)", 1)
-    other = F.translate(number, "0123456789", "1357902468")
-    return F.when(number == "", text).otherwise(F.regexp_replace(text, F.concat(F.lit(r"\Q"), number, F.lit(r"\E")), other))
+@F.pandas_udf(StringType())
+def perturbed(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+    """A text with the digits of one of its numbers (years and cycles aside) turned to others, for sensitivity tests; the seed decides which."""
+    other = str.maketrans("0123456789" + INDIC_DIGITS, "1357902468" + "१३५७९०२४६८௧௩௫௭௯௦௨௪௬௮")
+
+    def one(text: str | None, seed: int) -> str | None:
+        places = number_places(text) if text is not None else []
+        if not places:
+            return text
+        start, stop = random.Random(int(seed)).choice(places)
+        return text[:start] + text[start:stop].translate(other) + text[stop:]
+
+    return pd.Series([one(t, s) for t, s in zip(texts, seeds, strict=True)], dtype="object")
 
 
 def unpunctuated(text: Column) -> Column:

@@ -1,7 +1,9 @@
 """Registered queries do the whole job: all cycles, languages, scripts and texts of their tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from hydrostrata.operators import lexical
 from hydrostrata.plans import operators
 
 
@@ -22,3 +24,14 @@ def test_crosswalk_over_all_cycles(run):
     got = {r.id: (r.canonical_id, r.match_method) for r in run("e02_crosswalk", ("crosswalk_fuzzy_review_sample", rows, "canonical_id string, assessment_year string, state_name string, district_name string, name_in_year string"))}
     assert len(got) == 10 and got["u/2025"] == ("u/2025", "first_seen") and got["v/2021"] == ("v/2021", "first_seen")
     assert all(got[f"u/{c[:4]}"] == ("u/2025", "name") for c in cycles[:6]) and all(got[f"v/{y}"] == ("v/2021", "name") for y in (2016, 2019))
+
+
+def test_wrong_numbers_in_whole_texts_of_all_languages(run):
+    rows = [(1, "Alpha. Beta. Then 41.5 m rose.", "en"), (2, "Alpha. Beta. फिर ४१ मीटर", "hi"), (3, "None. At. All in 2019-2020.", "en"), (4, None, "en"), (5, "x 7. y. z", None)]
+    assert [tuple(r) for r in run("e17_wrong_numbers_are_told", ("documents", rows, "doc_id long, text string, lang string"))] == [(3, 1.0)]
+
+
+def test_later_numbers_are_perturbed_and_support(spark):
+    text = "3 wells of 35 m. In 2019-2020 there. Then 3.5 m, later १२."
+    rows = spark.range(40).select(lexical.perturbed(F.lit(text), F.col("id")).alias("t")).distinct().collect()
+    assert {r.t for r in rows} == {text.replace("3 w", "7 w"), text.replace("35 m", "70 m"), text.replace("3.5", "7.0"), text.replace("१२", "३५")}
