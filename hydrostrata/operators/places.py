@@ -38,7 +38,7 @@ def _grams(form: Column) -> Column:
 
 
 def candidates(mentions: DataFrame, aliases: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """(mention_id, form, entity columns, alias_form, gram_score): the best ``n`` entities of each mention.
+    """(mention_id, form, entity columns, alias_form, gram_score): the best ``n`` entities of each mention and all of an equal form.
 
     Weights are inverse document frequencies over the aliases; both the voiced and the voiceless
     form are compared and the better counts. Mentions are (mention_id, form), folded.
@@ -54,10 +54,14 @@ def candidates(mentions: DataFrame, aliases: DataFrame, n: int = CANDIDATES) ->
         own = asked.groupBy("mention_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
         dots = asked.join(weighted.select("gram", "entity_id", "alias_form"), "gram").groupBy("mention_id", "entity_id", "alias_form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
         spaces.append(dots.join(norms, ["entity_id", "alias_form"]).join(own, "mention_id").select("mention_id", "entity_id", "alias_form", (F.col("dot") / (F.col("alias_norm") * F.col("own_norm"))).alias("gram_score")))
-    best = spaces[0].unionByName(spaces[1]).groupBy("mention_id", "entity_id").agg(F.max_by("alias_form", "gram_score").alias("alias_form"), F.max("gram_score").alias("gram_score"))
-    top = top_per_key(best, ["mention_id"], n, F.desc("gram_score"), "entity_id")
+    scored = spaces[0].unionByName(spaces[1]).groupBy("mention_id", "entity_id").agg(F.max_by("alias_form", F.struct("gram_score", "alias_form")).alias("alias_form"), F.max("gram_score").alias("gram_score"))
+    top = top_per_key(scored, ["mention_id"], n, F.desc("gram_score"), "entity_id").withColumn("equal", F.lit(0))
+    names = aliases.select("entity_id", F.col("form").alias("alias_form"), "plain")
+    spoken = mentions.select("mention_id", "form", devoiced(F.col("form")).alias("plain"))
+    equal = spoken.join(names, "plain").select("mention_id", "entity_id", "alias_form", F.lit(1.0).alias("gram_score"), F.when(F.col("form") == F.col("alias_form"), 2).otherwise(1).alias("equal"))
+    best = top.unionByName(equal).groupBy("mention_id", "entity_id").agg(F.max_by("alias_form", F.struct("equal", "gram_score", "alias_form")).alias("alias_form"), F.max("gram_score").alias("gram_score"))
     entities = aliases.select("entity_id", "level", "db_name", "state", "district").dropDuplicates(["entity_id"])
-    return top.join(mentions, "mention_id").join(entities, "entity_id")
+    return best.join(mentions, "mention_id").join(entities, "entity_id")
 
 
 def features(found: DataFrame) -> DataFrame:

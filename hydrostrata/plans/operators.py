@@ -370,8 +370,7 @@ def t8_hash_sample(spark, folder):
 
 def _mentions(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "errors_sample").dropDuplicates(["mention_id"])
-    latin = rows.where(F.col("mention").rlike(r"^[\x20-\x7e]+$"))
-    return latin.select("mention_id", text.phonetic_fold(F.col("mention")).alias("form"), "context.states", "context.districts", "gold", "gold_level").where("form <> ''")
+    return rows.select("mention_id", text.phonetic_fold(F.col("mention")).alias("form"), "context.states", "context.districts", "gold", "gold_level").where("form <> ''")
 
 
 @query()
@@ -384,14 +383,14 @@ def r6_gazetteer_scan(spark, folder):
 
 @query()
 def r9_candidates(spark, folder):
-    found = places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")), 5)
+    found = places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")))
     return found.select("mention_id", "entity_id", F.round("gram_score", 4).alias("gram_score"))
 
 
 @query()
 def r11_resolver(spark, folder):
     """Entities of mentions by a logistic ranker fitted on the labelled ones."""
-    found = checkpointed(places.features(places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")), 10)))
+    found = checkpointed(places.features(places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")))))
     labelled = found.where("gold is not null").withColumn("right", (F.col("gold") == F.col("db_name")) & (F.col("gold_level") == F.col("level")))
     model = places.fit_ranker(labelled, "right", 50_000)
     return places.resolve(found, model, 1).select("mention_id", "entity_id", F.round("score", 4).alias("score"))

@@ -35,3 +35,15 @@ def test_later_numbers_are_perturbed_and_support(spark):
     text = "3 wells of 35 m. In 2019-2020 there. Then 3.5 m, later १२."
     rows = spark.range(40).select(lexical.perturbed(F.lit(text), F.col("id")).alias("t")).distinct().collect()
     assert {r.t for r in rows} == {text.replace("3 w", "7 w"), text.replace("35 m", "70 m"), text.replace("3.5", "7.0"), text.replace("१२", "३५")}
+
+
+GAZETTEER = "entity_id long, level string, db_name string, display string, state string, district string, aliases array<string>"
+MENTION = "mention_id long, mention string, context struct<states array<string>, districts array<string>>, gold string, gold_level string"
+
+
+def test_candidates_of_all_scripts_and_all_equal_names(run):
+    entries = [(i, "unit", "SAMEGAON", "Samegaon", "S", f"D{i}", None) for i in range(36)] + [(100, "unit", "DONOTEMANGAL", "Donotemangal", "S", "D1", None), (101, "unit", "NADAMANGAL", "Nadamangal", "S", "D1", None)]
+    rows = [(1, "Samegaon", None, None, None), (2, "दोनोतेमंगल", None, None, None), (3, "நாதாமங்கல்", None, None, None), (4, "Dōnōtemāngal", None, None, None)]
+    got = run("r9_candidates", ("gazetteer", entries, GAZETTEER), ("errors_sample", rows, MENTION))
+    assert {r.entity_id for r in got if r.mention_id == 1 and r.gram_score == 1} == set(range(36))
+    assert [max((r.gram_score, r.entity_id) for r in got if r.mention_id == m) for m in (2, 3, 4)] == [(1.0, 100), (1.0, 101), (1.0, 100)]
