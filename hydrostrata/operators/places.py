@@ -21,6 +21,8 @@ CANDIDATES, FUZZY, LENGTHS = 30, 0.84, 2
 FEATURES = ("gram_score", "ratio", "skeleton_ratio", "exact", "prefix", "length_gap", "is_state", "is_district", "is_unit", "state_fits", "district_fits", "ambiguous")
 #: A span is a link from this score on.
 CONFIDENT = 0.9
+#: A stopword stands in so many questions, and no place in this share of them.
+STOP_ROWS, STOP_SHARE = 5, 0.8
 
 
 def alias_table(gazetteer: DataFrame) -> DataFrame:
@@ -96,40 +98,84 @@ def resolve(featured: DataFrame, model: LogisticRegressionModel | None = None, t
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def scan(questions: DataFrame, aliases: DataFrame, key: str, text: str, fuzzy: float = FUZZY) -> DataFrame:
-    """(key, start, stop, form, score): non-overlapping names in texts, exact ones first, longest first, then fuzzy.
+def stopwords(questions: DataFrame, text: str, entities: str, least: int = STOP_ROWS, share: float = STOP_SHARE) -> DataFrame:
+    """(word): folded words of at least ``least`` labelled questions that no one place has a ``share`` of."""
+    rows = questions.select(F.array_distinct(F.filter(F.split(_folded(text), " "), lambda w: w != "")).alias("words"), F.expr(f"array_distinct(transform(coalesce({entities}, array()), e -> e.db_name))").alias("names"))
+    words = rows.select(F.explode("words").alias("word"), "names")
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    top = words.select("word", F.explode("names").alias("name")).groupBy("word", "name").agg(F.count("*").alias("c")).groupBy("word").agg(F.max("c").alias("c"))
+    return counts.join(top, "word", "left").where((F.col("n") >= least) & (F.coalesce("c", F.lit(0)) < share * F.col("n"))).select("word")
 
-    Fuzzy spans share a beginning or end of three letters with an alias of a length within ``LENGTHS``.
-    """
-    folded = questions.select(F.col(key).alias("key"), phonetic_fold(F.regexp_replace(F.col(text), r"[^\p{L}\p{M}\p{N} ]", " ")).alias("t"))
-    spans = folded.select("key", F.explode(word_spans(F.col("t"))).alias("s")).select("key", "s.*")
-    forms = aliases.select("form").distinct()
-    exact = spans.join(forms.withColumnRenamed("form", "span"), "span", "left_semi").select("key", "start", "stop", F.col("span").alias("form"), (F.lit(2.0) + F.length("span") / 1000).alias("score"))
+
+def _folded(text: str) -> Column:
+    """Folded words of a text; signs part words, but for those that show nothing."""
+    return phonetic_fold(F.regexp_replace(F.regexp_replace(F.col(text), r"\p{Cf}", ""), r"[^\p{L}\p{M}\p{N} ]", " "))
+
+
+def _near(words: DataFrame, forms: DataFrame, fuzzy: float) -> DataFrame:
+    """(span, form, r): forms like a span; the two share a beginning or end of three letters."""
     ends = lambda c: F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 3)), F.concat(F.lit(">"), F.substring(c, -3, 3))))
-    words = spans.select("span").where(F.length("span") >= 4).distinct().join(forms.withColumnRenamed("form", "span"), "span", "left_anti")
-    met = words.select("span", F.explode(ends(F.col("span"))).alias("e")).join(forms.select("form", F.explode(ends(F.col("form"))).alias("e")), "e").where(F.abs(F.length("span") - F.length("form")) <= LENGTHS).select("span", "form").distinct()
+    met = words.where(F.length("span") >= 4).select("span", F.explode(ends(F.col("span"))).alias("e")).join(forms.select("form", F.explode(ends(F.col("form"))).alias("e")), "e").where(F.abs(F.length("span") - F.length("form")) <= LENGTHS).select("span", "form").distinct()
     # a ratio r leaves at most (1 - r) of all letters unmatched, and no fewer edits than half of them
     met = met.where(F.levenshtein("span", "form") <= (1 - fuzzy) * (F.length("span") + F.length("form")))
-    near = met.withColumn("r", matching_ratio("span", "form")).where(F.col("r") >= fuzzy).groupBy("span").agg(F.max_by("form", F.struct("r", "form")).alias("form"), F.max("r").alias("r"))
-    fuzzy_spans = spans.join(near, "span").select("key", "start", "stop", "form", F.col("r").alias("score"))
-    every = exact.unionByName(fuzzy_spans)
+    return met.withColumn("r", matching_ratio("span", "form")).where(F.col("r") >= fuzzy)
+
+
+def _scanned(questions: DataFrame, aliases: DataFrame, key: str, text: str, fuzzy: float, stop: DataFrame | None = None) -> DataFrame:
+    """:func:`scan` with the text of each span; spans of words of ``stop`` alone are none."""
+    folded = questions.select(F.col(key).alias("key"), _folded(text).alias("t"))
+    spans = folded.select("key", F.explode(word_spans(F.col("t"))).alias("s")).select("key", "s.*")
+    forms = aliases.select("form").distinct()
+    words = spans.select("span").distinct()
+    exact = words.join(forms.withColumnRenamed("form", "span"), "span", "left_semi").select("span", F.col("span").alias("form"), (F.lit(2.0) + F.length("span") / 1000).alias("score"))
+    near = _near(words.join(forms.withColumnRenamed("form", "span"), "span", "left_anti"), forms, fuzzy)
+    matched = exact.unionByName(near.groupBy("span").agg(F.max_by("form", F.struct("r", "form")).alias("form"), F.max("r").alias("score")))
+    if stop is not None:
+        told = matched.select("span", F.explode(F.split("span", " ")).alias("word")).join(stop, "word", "left_anti").select("span").distinct()
+        matched = matched.join(told, "span", "left_semi")
+    every = spans.join(checkpointed(matched), "span")
     return greedy_spans(every.select("key", "start", "stop", "score"), "key").join(every, ["key", "start", "stop", "score"]).dropDuplicates(["key", "start", "stop"])
 
 
-def link(questions: DataFrame, gazetteer: DataFrame, key: str, text: str, confident: float = FUZZY) -> DataFrame:
+def scan(questions: DataFrame, aliases: DataFrame, key: str, text: str, fuzzy: float = FUZZY) -> DataFrame:
+    """(key, start, stop, form, score): non-overlapping names in texts, exact ones first, longest first, then fuzzy.
+
+    Fuzzy spans share a beginning or end of three letters with an alias of a length within ``LENGTHS``.
+    """
+    return _scanned(questions, aliases, key, text, fuzzy).select("key", "start", "stop", "score", "form")
+
+
+def link(questions: DataFrame, gazetteer: DataFrame, key: str, text: str, confident: float = CONFIDENT, stop: DataFrame | None = None) -> DataFrame:
     """(key, start, stop, entity_id, level, db_name, state, score): the entity of each name found in a text.
 
     Names that occur once give the context; an ambiguous name then takes the entity whose state or
-    district the text names, else the highest level, else the least id.
+    district the text names, else the highest level, else the least id. In a text that names states, a
+    second pass looks for every district and unit inside these states, at the same confidence; one outside that
+    has no such match is dropped. Spans of words of ``stop`` (word) alone are no names.
     """
     aliases = alias_table(gazetteer)
-    spans = scan(questions, aliases, key, text).where(F.col("score") >= confident)
-    options = spans.join(aliases.drop("plain").distinct(), "form")
+    named = aliases.drop("plain").distinct()
+    spans = checkpointed(_scanned(questions, aliases, key, text, confident, stop))
+    height = F.when(F.col("level") == "state", 3).when(F.col("level") == "district", 2).otherwise(1)
+    options = spans.join(named, "form")
     n = F.size(F.collect_set("entity_id").over(Window.partitionBy("key", "start", "stop")))
     counted = options.withColumn("n", n)
     context = counted.where("n = 1").groupBy("key").agg(F.collect_set("state").alias("states"), F.collect_set(F.when(F.col("level") == "district", F.col("db_name"))).alias("districts"))
     joined = counted.join(context, "key", "left")
-    fits = 2 * F.coalesce(F.array_contains("districts", F.col("district")), F.lit(False)).cast("int") + F.coalesce(F.array_contains("states", F.col("state")), F.lit(False)).cast("int")
-    height = F.when(F.col("level") == "state", 3).when(F.col("level") == "district", 2).otherwise(1)
+    in_district = F.coalesce(F.array_contains("districts", F.col("district")), F.lit(False)).cast("int")
+    fits = 2 * in_district + F.coalesce(F.array_contains("states", F.col("state")), F.lit(False)).cast("int")
     order = Window.partitionBy("key", "start", "stop").orderBy(F.desc(fits), F.desc(height), "entity_id")
-    return joined.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("key", "start", "stop", "entity_id", "level", "db_name", "state", "score")
+    first = checkpointed(joined.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("key", "start", "stop", "span", "entity_id", "level", "db_name", "state", "score", "districts"))
+
+    stated = first.where("level = 'state'").groupBy("key").agg(F.collect_set("db_name").alias("stated"))
+    below = first.where("level <> 'state'").join(stated, "key")
+    words, forms = below.select("span").distinct(), named.select("form").distinct()
+    alike = words.join(forms.withColumnRenamed("form", "span"), "span", "left_semi").select("span", F.col("span").alias("form"), F.lit(1.0).alias("r"))
+    alike = alike.unionByName(_near(words, forms, confident).where("span <> form"))
+    inside = below.select("key", "start", "stop", "span", "districts", "stated").join(alike, "span").join(named, "form").where(F.array_contains("stated", F.col("state")))
+    best = Window.partitionBy("key", "start", "stop").orderBy(F.desc("r"), F.desc(in_district), F.desc(height), "entity_id")
+    score = F.when(F.col("r") == 1, F.lit(2.0) + F.length("span") / 1000).otherwise(F.col("r"))
+    again = inside.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("key", "start", "stop", F.struct("entity_id", "level", "db_name", "state", score.alias("score")).alias("again"))
+    kept = first.join(stated, "key", "left").join(again, ["key", "start", "stop"], "left")
+    kept = kept.where(F.col("stated").isNull() | (F.col("level") == "state") | F.col("again").isNotNull() | F.coalesce(F.array_contains("stated", F.col("state")), F.lit(False)))
+    return kept.select("key", "start", "stop", *[F.coalesce(f"again.{c}", c).alias(c) for c in ("entity_id", "level", "db_name", "state", "score")])

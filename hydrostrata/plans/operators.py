@@ -398,8 +398,10 @@ def r11_resolver(spark, folder):
 
 @query()
 def r12_place_links(spark, folder):
-    rows = table(spark, folder, "documents").where("lang = 'en' and text is not null").select("doc_id", "text")
-    return places.link(rows, table(spark, folder, "gazetteer").where("level = 'state'"), "doc_id", "text")
+    """Names in all documents linked to the whole gazetteer; stopwords come from the training questions."""
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    train = table(spark, folder, "ingres_bench_v1").where("split = 'train' and question is not null").dropDuplicates(["id"])
+    return places.link(rows, table(spark, folder, "gazetteer"), "doc_id", "text", stop=places.stopwords(train, "question", "entities"))
 
 
 @query()
