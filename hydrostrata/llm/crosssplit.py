@@ -38,8 +38,9 @@ PURE = 0.8
 WORDING, WORDING_SHARE = 2.5, 0.25
 #: Cost of a wording word at either end (greetings, thanks) against 1 inside.
 EDGE = 0.34
-#: Rows with a word from which it is known to be a name of its own and no slip of another.
-KNOWN = 3
+#: Different questions with a word from which it may be a name of its own and no slip of another, and what share of the
+#: other word's questions they must be: a repeated slip stays rare beside its name. Labelled names need neither.
+KNOWN, BESIDE = 3, 0.2
 BAND = 12
 #: The assessment categories, which no label column names.
 CATEGORIES = ("safe", "semi", "critical", "over", "exploited", "saline", "hilly")
@@ -221,7 +222,14 @@ def classified(parsed: DataFrame, words: Lexicon) -> DataFrame:
     return parsed.select("id", "train", "language", "words").mapInPandas(run, "id string, train boolean, class_id string, language string, block string, content string, full string")
 
 
-def class_pairs(classes: DataFrame, counts: DataFrame, k: int = EDITS) -> DataFrame:
+def labelled_names(bench: DataFrame) -> DataFrame:
+    """(language, word) of the names that labelled rows display."""
+    words = F.pandas_udf(lambda s: s.map(lambda t: question_words(t) if t else []), "array<string>")
+    shown = bench.select(F.coalesce("language", F.lit("")).alias("language"), F.explode(F.expr("transform(entities, e -> e.display)")).alias("display")).distinct()
+    return shown.select("language", F.explode(words("display")).alias("word")).distinct()
+
+
+def class_pairs(classes: DataFrame, labelled: DataFrame, k: int = EDITS) -> DataFrame:
     """(train_class, eval_class) of all overlapping classes of questions."""
     keys = F.pandas_udf(lambda b, c, t: pd.Series([substring_keys(x, y, k) if z else segment_keys(x, y, k) for x, y, z in zip(b, c, t, strict=True)]), "array<long>")
     keyed = classes.select("class_id", "train", F.explode(F.array_distinct(keys("block", "content", "train"))).alias("key"))
@@ -243,13 +251,16 @@ def class_pairs(classes: DataFrame, counts: DataFrame, k: int = EDITS) -> DataFr
     one = classes.where("train").select(F.col("class_id").alias("train_class"), "language", F.col("full").alias("train_full"))
     other = classes.where("not train").select(F.col("class_id").alias("eval_class"), F.col("full").alias("eval_full"))
     checked = candidates.join(one, "train_class").join(other, "eval_class").withColumn("v", verify("train_full", "eval_full")).where("v.same").select("train_class", "eval_class", "language", "v.slips")
-    names = counts.where(F.col("rows") >= KNOWN).select("language", "word")
+    # questions are counted, not rows, so that copies are no evidence
+    asked = classes.select("class_id", "language", F.explode(F.split("content", " ")).alias("word")).groupBy("language", "word").agg(F.countDistinct("class_id").alias("n"))
+    names = asked.join(labelled.withColumn("labelled", F.lit(True)), ["language", "word"], "left").select("language", "word", "n", F.coalesce("labelled", F.lit(False)).alias("labelled"))
+    own = (F.col("labelled") & F.col("other_labelled")) | ((F.least("n", "other_n") >= KNOWN) & (F.least("n", "other_n") >= BESIDE * F.greatest("n", "other_n")))
     two_names = (
         checked.where("size(slips) > 0").select("train_class", "eval_class", "language", F.explode("slips").alias("s"))
         .select("train_class", "eval_class", "language", F.col("s.a").alias("word"), F.col("s.b").alias("other"))
-        .join(names, ["language", "word"], "left_semi")
-        .join(names.select("language", F.col("word").alias("other")), ["language", "other"], "left_semi")
-        .select("train_class", "eval_class").distinct()
+        .join(names, ["language", "word"])
+        .join(names.select("language", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("labelled").alias("other_labelled")), ["language", "other"])
+        .where(own).select("train_class", "eval_class").distinct()
     )
     return checked.select("train_class", "eval_class").join(two_names, ["train_class", "eval_class"], "left_anti")
 
@@ -266,7 +277,7 @@ def overlaps(bench: DataFrame, k: int = EDITS) -> DataFrame:
     classes = rows.groupBy("class_id", "train").agg(F.first("language").alias("language"), F.first("block").alias("block"), F.first("content").alias("content"), F.first("full").alias("full"))
     members = rows.select("id", "train", "class_id").distinct()
     return (
-        class_pairs(classes, counts, k)
+        class_pairs(classes, labelled_names(bench), k)
         .join(members.where("train").select(F.col("class_id").alias("train_class"), F.col("id").alias("train_id")), "train_class")
         .join(members.where("not train").select(F.col("class_id").alias("eval_class"), F.col("id").alias("eval_id")), "eval_class")
         .select("train_id", "eval_id").distinct()
