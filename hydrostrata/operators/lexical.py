@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,7 +87,7 @@ def mistyped(texts: pd.Series, seeds: pd.Series) -> pd.Series:
             return None
         draw = random.Random(int(seed))
         parts = text.split(" ")
-        long = [i for i, w in enumerate(parts) if len(w) >= 4 and w.isalpha()]
+        long = [i for i, w in enumerate(parts) if len(w) >= 4 and all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in w)]
         if not long:
             return text
         i = draw.choice(long)

@@ -157,7 +157,7 @@ def w9_trend_share(spark, folder):
 def w11_greedy_spans(spark, folder):
     known = table(spark, folder, "ingres_bench_v1").select(F.explode("entities").alias("e"))
     names = known.select(F.lower("e.display").alias("span"), F.length("e.display").cast("double").alias("score")).distinct()
-    rows = table(spark, folder, "ingres_bench_v1").where("language = 'english'").select("id", F.explode(windows.word_spans(F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N} -]", " "), 2)).alias("s")).select("id", "s.*")
+    rows = table(spark, folder, "ingres_bench_v1").select("id", F.explode(windows.word_spans(F.regexp_replace(F.lower("question"), r"[^\p{L}\p{M}\p{N} -]", " "), 2)).alias("s")).select("id", "s.*")
     return windows.greedy_spans(rows.join(names, "span").select("id", "start", "stop", "score").distinct(), "id")
 
 
@@ -304,9 +304,9 @@ def r3_rank_metrics(spark, folder):
 
 @query()
 def r5_nearest_question(spark, folder):
-    rows = table(spark, folder, "ingres_bench_v1").where("language = 'english'").select("id", "split", "question").dropDuplicates(["id"])
+    rows = table(spark, folder, "ingres_bench_v1").select("id", "split", "question").dropDuplicates(["id"])
     vectors = retrieval.tfidf(rows, "id", "question")
-    hard = vectors.join(rows.where("split = 'dev'").select(F.col("id").alias("key")), "key", "left_semi")
+    hard = vectors.join(rows.where("split in ('dev', 'test', 'hard_test')").select(F.col("id").alias("key")), "key", "left_semi")
     train = vectors.join(rows.where("split = 'train'").select(F.col("id").alias("key")), "key", "left_semi")
     scored = hard.select(F.col("key").alias("query_key"), "gram", F.col("weight").alias("q")).join(train, "gram").groupBy("query_key", "key").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
     return scored.groupBy("query_key").agg(F.max_by("key", F.struct("score", "key")).alias("key"))
@@ -319,7 +319,7 @@ def r14_cycle_labels(spark, folder):
 
 @query()
 def r15_typing_noise(spark, folder):
-    rows = table(spark, folder, "ingres_bench_v1").where("language = 'english'")
+    rows = table(spark, folder, "ingres_bench_v1")
     return rows.select("id", lexical.mistyped("question", F.xxhash64("id")).alias("noisy"))
 
 
@@ -375,10 +375,8 @@ def _mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def r6_gazetteer_scan(spark, folder):
-    rows = table(spark, folder, "ingres_bench_v1").where("language = 'english'").dropDuplicates(["id"])
-    known = rows.select(F.explode("entities").alias("e")).select(F.col("e.db_name").alias("db_name"), F.col("e.display").alias("display"), F.col("e.type").alias("level")).distinct()
-    gazetteer = known.select(F.xxhash64("level", "db_name").alias("entity_id"), "level", "db_name", "display", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("array<string>").alias("aliases"))
-    return places.scan(rows, places.alias_table(gazetteer), "id", "question")
+    rows = table(spark, folder, "ingres_bench_v1").dropDuplicates(["id"])
+    return places.scan(rows, places.alias_table(table(spark, folder, "gazetteer")), "id", "question")
 
 
 @query()

@@ -60,3 +60,22 @@ def test_links_of_all_levels_and_languages(run):
     got = run("r12_place_links", ("gazetteer", entries, GAZETTEER), ("ingres_bench_v1", train, BENCH), ("documents", docs, "doc_id long, text string, lang string"))
     # the first text's Lorepalli is outside its state; a word of many places' questions is no name; 0.9 holds for slips
     assert {(r.key, r.entity_id) for r in got} == {(1, 1), (1, 5), (2, 2), (2, 4), (2, 7), (3, 3), (4, 7), (4, 4)}
+
+
+@pytest.mark.parametrize("name, found", [
+    ("r5_nearest_question", {("d", "t1"), ("s", "t2"), ("h", "t3")}), ("r6_gazetteer_scan", {"t1", "t2", "t3", "d", "s", "h"}),
+    ("w11_greedy_spans", {"t1", "t2", "t3", "d", "s", "h"}), ("r15_typing_noise", {"t1", "t2", "t3", "d", "s", "h"}),
+])
+def test_questions_of_all_languages_and_splits(run, name, found):
+    texts = {"t1": "rainfall of Rihihopur", "t2": "सेमेगांव की वर्षा", "t3": "நாதாமங்கல் மழை"}
+    shown = {"t1": "Rihihopur", "t2": "सेमेगांव", "t3": "நாதாமங்கல்"}
+    bench = [(k, "train", "x", t, [("unit", "N", shown[k])]) for k, t in texts.items()] + [(k, s, "x", texts[t], None) for k, s, t in (("d", "dev", "t1"), ("s", "test", "t2"), ("h", "hard_test", "t3"))]
+    entries = [(1, "unit", "RIHIHOPUR", "Rihihopur", "S", "D", None), (2, "unit", "SEMEGANV", "Semeganv", "S", "D", None), (3, "unit", "NADAMANGAL", "Nadamangal", "S", "D", ["நாதாமங்கல்"])]
+    got = run(name, ("ingres_bench_v1", bench, BENCH), ("gazetteer", entries, GAZETTEER))
+    if name == "r5_nearest_question":
+        assert {(r.query_key, r.key) for r in got} == found
+    elif name == "r15_typing_noise":
+        split = {k: t for k, _, _, t, _ in bench}
+        assert {r.id for r in got if r.noisy != split[r.id]} == found
+    else:
+        assert {r["key" if name == "r6_gazetteer_scan" else "id"] for r in got} == found
