@@ -35,8 +35,12 @@ SLOT_WINDOW, SLOT_RATIO = 4, 0.5
 COVERAGE = 0.6
 #: Coverage from which a document teaches the second round.
 CLEAR = 0.75
-#: Documents scored together.
+#: Letters and digits from which a text can be residue at all.
+LETTERS = 8
+#: Characters of documents scored together.
 CHUNK = 2_000_000
+#: Whole-number scores to one nat.
+UNIT = 4096
 
 #: Seed wordings by class. Only their character statistics are used.
 SEEDS: dict[str, list[str]] = {
@@ -58,12 +62,11 @@ SEEDS: dict[str, list[str]] = {
         "403 Forbidden. Access to this resource was refused. Access denied. Contact the administrator if you think this is a mistake.",
         "Your session has expired. Sign in again to continue. Please log in.",
         "Fatal error: Uncaught exception in /srv/www/index.php on line 10. Traceback (most recent call last): File \"main.py\", line 10, in render KeyError: 'x' Stack trace",
-        "ORA-00942: unable to reach the data store. Query aborted. Connection timed out. Database error. {\"status\": 500, \"error\": \"upstream timed out\", \"trace\": \"0a0a0a\"} {\"error\": \"record not available\"}",
-        "502 Bad Gateway. The gateway timed out. nginx",
+        "Query aborted. Connection timed out. Database error. {\"status\": 500, \"error\": \"timed out\", \"trace\": \"0a0a0a\"} {\"error\": \"not available\"}",
+        "400 Bad Request. 401 Unauthorized. 405 Method Not Allowed. 408 Request Timeout. 410 Gone. 429 Too Many Requests. 502 Bad Gateway. The gateway timed out. 504 Gateway Timeout. nginx",
         "सर्वर में त्रुटि हुई है, बाद में प्रयास करें। यह पृष्ठ नहीं मिला। पृष्ठ उपलब्ध नहीं है। रखरखाव के कारण सेवा बंद है।",
         "சேவையகத்தில் பிழை ஏற்பட்டது, பின்னர் முயலவும். பக்கம் கிடைக்கவில்லை. பராமரிப்பு காரணமாக சேவை நிறுத்தப்பட்டுள்ளது.",
         "Server me error aa gaya, thodi der baad try karein. Page nahi mila. Site maintenance ke liye band hai.",
-        "Home | Maps | Reports | Help Groundwater portal",
     ],
     "notice": [
         "Please enable JavaScript to view this page. JavaScript is disabled in your browser. You need to enable JavaScript to run this app.",
@@ -72,7 +75,6 @@ SEEDS: dict[str, list[str]] = {
         "यह पृष्ठ देखने के लिए अपने ब्राउज़र में जावास्क्रिप्ट चालू करें। कृपया कुकीज़ सक्षम करें।",
         "இந்தப் பக்கத்தைக் காண ஜாவாஸ்கிரிப்டை இயக்கவும். குக்கீகளை அனுமதிக்கவும்.",
         "Page dekhne ke liye browser me JavaScript on karein. Cookies allow karein.",
-        "Skip to main content © 2025 All rights reserved",
     ],
 }
 #: Ways to write a slot; ``N`` stands for its name.
@@ -119,30 +121,46 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-def _shapes(texts: list[str]) -> np.ndarray:
-    """Bucket of the 4-gram of kinds ending at every character."""
-    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _hashed(np.where(c < 1 << 16, _kinds()[np.minimum(c, (1 << 16) - 1)], 111).astype(np.uint32))
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts put end to end, and each text's length."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def _shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the 4-gram of kinds ending at every character, and the texts' lengths."""
+    c, lengths = _points(texts)
+    return _hashed(np.where(c < 1 << 16, _kinds()[np.minimum(c, (1 << 16) - 1)], 111).astype(np.uint32), lengths), lengths
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of the 4-gram ending at every character, the documents' lengths, and which characters are no blank."""
-    lowered = [t.lower() for t in texts]
-    lengths = np.array([len(t) for t in lowered], np.int64)
-    c = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Bucket of the 4-gram ending at every character, the texts' lengths, and which characters are no blank."""
+    c, lengths = _points([t.lower() for t in texts])
     solid = ~np.isin(c, (9, 10, 11, 12, 13, 32, 160))
-    return _hashed(np.where((c >= 48) & (c <= 57), 48, np.where(solid, c, 32)).astype(np.uint32)), lengths, solid
+    return _hashed(np.where((c >= 48) & (c <= 57), 48, np.where(solid, c, 32)).astype(np.uint32), lengths), lengths, solid
 
 
-def _hashed(c: np.ndarray) -> np.ndarray:
+def _hashed(c: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Buckets of 4-grams. Blanks stand before the beginning of each text, so none sees its neighbour."""
+    starts = np.cumsum(lengths) - lengths
     h = c * np.uint32(0x9E3779B1)
     for k, odd in ((1, 0x85EBCA77), (2, 0xC2B2AE3D), (3, 0x27D4EB2F)):
-        h[k:] += c[:-k] * np.uint32(odd)
+        before = np.full(len(c), 32, np.uint32)
+        before[k:] = c[:-k]
+        for j in range(k):
+            before[starts[starts + j < len(c)] + j] = 32
+        h += before * np.uint32(odd)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return ((h >> np.uint32(12)) & np.uint32(BUCKETS - 1)).astype(np.int32)
 
 
+def _sums(flags: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many of each text's characters are flagged."""
+    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
     ids: list[int] = []
     texts: list[str] = []
@@ -160,15 +178,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield ids, texts
 
 
-def _windows(score: np.ndarray, width: int, least: float) -> np.ndarray:
-    """Characters inside a window of ``width`` grams whose mean score is at least ``least``."""
+def _windows(score: np.ndarray, lengths: np.ndarray, width: int, least: float) -> np.ndarray:
+    """Characters inside a window of ``width`` grams whose mean score is at least ``least``.
+
+    A window lies in one text; a text shorter than ``width`` is one window. Scores are whole numbers
+    (``UNIT`` to one), so the sums do not depend on where in the chunk a text stands.
+    """
     n = len(score)
-    width = min(width, n)
-    total = np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
-    hot = np.flatnonzero(total[width:] - total[:-width] >= least * width)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    total = np.concatenate(([0], np.cumsum(score, dtype=np.int64)))
+    hot = np.zeros(n, bool)
+    if n >= width:
+        hot[: n - width + 1] = total[width:] - total[:-width] >= least * width * UNIT
+    over = np.zeros(n + 1, np.int32)  # places whose window would run over the end of its text
+    over[np.maximum(starts, ends - width + 1)] += 1
+    over[ends] -= 1
+    at = np.flatnonzero(hot & (np.cumsum(over[:-1]) == 0))
+    short = (lengths < width) & (total[ends] - total[starts] >= least * lengths * UNIT)
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, hot, 1)
-    np.add.at(edge, hot + width, -1)
+    edge[at] += 1
+    edge[at + width] -= 1
+    edge[starts[short]] += 1
+    edge[ends[short]] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -181,28 +213,31 @@ class Models:
             base = prose[BUCKETS:] if name == "slot" else prose[:BUCKETS]
             background = (base + 0.5) / (base.sum() + 0.5 * BUCKETS)
             own = counts / max(1.0, counts.sum())
-            self.tables[name] = np.log(MIX * own / background + (1 - MIX)).clip(-2.0, 6.0).astype(np.float32)
+            ratio = np.log(MIX * own / background + (1 - MIX)).clip(-2.0, 6.0)
+            self.tables[name] = np.round(ratio * UNIT).astype(np.int32)
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[str]]]:
-        """Covered share of each text, and the slots that stand in its slot windows."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Covered share of each text, its letters and digits, and the slots that stand in its slot windows."""
         gram, lengths, solid = _grams(texts)
-        ends = np.cumsum(lengths)
         covered = np.zeros(len(gram), bool)
         for name in ("filler", "error", "notice"):
-            covered |= _windows(self.tables[name][gram], WINDOW, RATIO)
-        share = np.add.reduceat(np.append(covered & solid, False).astype(np.int64), ends - lengths) / np.maximum(1, np.add.reduceat(np.append(solid, False).astype(np.int64), ends - lengths))
+            covered |= _windows(self.tables[name][gram], lengths, WINDOW, RATIO)
+        share = _sums(covered & solid, lengths) / np.maximum(1, _sums(solid, lengths))
+        points, lengths = _points(texts)
+        shape, _ = _shapes(texts)
+        letters = _sums(np.isin(_kinds()[np.minimum(points, (1 << 16) - 1)], (97, 65, 111, 48)), lengths)
         slots: list[list[str]] = [[] for _ in texts]
-        hot = np.flatnonzero(_windows(self.tables["slot"][_shapes(texts)], SLOT_WINDOW, SLOT_RATIO))
+        hot = np.flatnonzero(_windows(self.tables["slot"][shape], lengths, SLOT_WINDOW, SLOT_RATIO))
         if len(hot):
-            lengths = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(lengths)
-            cut = np.flatnonzero(np.diff(hot) > 1) + 1
-            for part in np.split(hot, cut):
-                k = int(np.searchsorted(ends, part[0], "right"))
+            of = np.searchsorted(ends, hot, "right")
+            cut = np.flatnonzero((np.diff(hot) > 1) | (np.diff(of) > 0)) + 1
+            for part in np.split(np.arange(len(hot)), cut):
+                k = int(of[part[0]])
                 start = int(ends[k] - lengths[k])
-                a, b = max(0, int(part[0]) - start - 64), int(part[-1]) - start + 65
+                a, b = max(0, int(hot[part[0]]) - start - 64), int(hot[part[-1]]) - start + 65
                 slots[k] += SLOT.findall(texts[k][a:b])
-        return share, slots
+        return share, letters, slots
 
 
 def _counts(scorer: Callable[[list[str]], np.ndarray] | None):
@@ -215,7 +250,7 @@ def _counts(scorer: Callable[[list[str]], np.ndarray] | None):
                 if not texts:
                     continue
             total[:BUCKETS] += np.bincount(_grams(texts)[0], minlength=BUCKETS)
-            total[BUCKETS:] += np.bincount(_shapes(texts), minlength=BUCKETS)
+            total[BUCKETS:] += np.bincount(_shapes(texts)[0], minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
@@ -233,7 +268,7 @@ def _collected(df: DataFrame) -> np.ndarray:
 def seed_counts() -> dict[str, np.ndarray]:
     slots = [" " + s.replace("N", n) + " " for s in SLOTS for n in SLOT_NAMES]
     counts = {k: np.bincount(_grams(v)[0], minlength=BUCKETS).astype(float) for k, v in SEEDS.items()}
-    return counts | {"slot": np.bincount(_shapes(slots), minlength=BUCKETS).astype(float)}
+    return counts | {"slot": np.bincount(_shapes(slots)[0], minlength=BUCKETS).astype(float)}
 
 
 def fit(documents: DataFrame, rounds: int = 1) -> Models:
@@ -260,10 +295,9 @@ def residue(documents: DataFrame, models: Models | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            share, slots = shipped.value.score(texts)
+            share, letters, slots = shipped.value.score(texts)
             n = [len(s) for s in slots]
-            long_enough = [sum(ch.isalnum() for ch in t[:200]) >= 8 for t in texts]
-            kind = ["slot" if k else "residue" if s >= COVERAGE and ok else "prose" for k, s, ok in zip(n, share, long_enough, strict=True)]
+            kind = ["slot" if k else "residue" if s >= COVERAGE and m >= LETTERS else "prose" for k, s, m in zip(n, share, letters, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(share, pa.float64()), pa.array(n, pa.int32()), pa.array(kind)], names=["doc_id", "coverage", "n_slots", "kind"])
 
     return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, coverage double, n_slots int, kind string")

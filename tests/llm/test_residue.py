@@ -37,5 +37,25 @@ def test_cleaning_keeps_the_rest(found):
     assert left == set(range(400)) | set(ODD)
 
 
+@pytest.mark.parametrize("chunk", [1, 300, 5_000, 2_000_000])
+def test_answers_depend_on_no_neighbour(spark, monkeypatch, chunk):
+    rows = [(i, t) for i, t, _ in corpus()] + [(9001, "The yield of the block is {{total}}"), (9002, "{{name}} of the block grew millet."), (9003, " \n" * 125 + "404 Not Found. The page could not be found.")]
+    models = residue.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    monkeypatch.setattr(residue, "CHUNK", chunk)
+    outcomes = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        batches = [residue.pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})]
+        found = {}
+        for ids, texts in residue._chunks(iter(batches)):
+            share, letters, slots = models.score(texts)
+            found |= {i: (float(a), int(b), c) for i, a, b, c in zip(ids, share, letters, slots, strict=True)}
+        outcomes.append(found)
+    assert outcomes[0] == outcomes[1] == {i: (float(models.score([t])[0][0]), int(models.score([t])[1][0]), models.score([t])[2][0]) for i, t in rows}
+    assert outcomes[0][9001][2] == ["{{total}}"] and outcomes[0][9002][2] == ["{{name}}"] and outcomes[0][9003][0] == 1.0
+    kinds = {r.doc_id: r.kind for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    assert kinds[9001] == kinds[9002] == "slot" and kinds[9003] == "residue"
+
+
 def test_empty(spark):
     assert residue.residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
