@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from hydrostrata.functions.grounding import number_places
-from hydrostrata.functions.text import INDIC_DIGITS
+from hydrostrata.functions.grounding import stated_numbers
+from hydrostrata.functions.text import ASCII_DIGITS, INDIC_DIGITS, ascii_digits, bound
 
 #: Romanised Hindi function words.
 HINDI_WORDS = (
@@ -98,19 +98,20 @@ def mistyped(texts: pd.Series, seeds: pd.Series) -> pd.Series:
     return pd.Series([one(t, s) for t, s in zip(texts, seeds, strict=True)], dtype="object")
 
 
-@F.pandas_udf(StringType())
-def perturbed(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-    """A text with the digits of one of its numbers (years and cycles aside) turned to others, for sensitivity tests; the seed decides which."""
-    other = str.maketrans("0123456789" + INDIC_DIGITS, "1357902468" + "१३५७९०२४६८௧௩௫௭௯௦௨௪௬௮")
+def perturbed(text: Column, seed: Column) -> Column:
+    """A text with the digits of one of its numbers (years and cycles aside) turned to others, for sensitivity tests; the seed decides which.
 
-    def one(text: str | None, seed: int) -> str | None:
-        places = number_places(text) if text is not None else []
-        if not places:
-            return text
-        start, stop = random.Random(int(seed)).choice(places)
-        return text[:start] + text[start:stop].translate(other) + text[stop:]
+    The number is turned where it stands first, in its own script. Without a number the text stays, null stays null.
+    """
+    def turned(t: Column) -> Column:
+        numbers = stated_numbers(t)
+        chosen = F.get(numbers, F.pmod(F.xxhash64(seed, F.lit("perturbed")), F.greatest(F.size(numbers), F.lit(1))).cast("int"))["written"]
+        whole = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_.,])"), F.replace(chosen, F.lit("."), F.lit(r"\.")), F.lit(r"(?![\d]|[.,]\d)"))
+        start = F.regexp_instr(ascii_digits(t), whole)
+        other = F.translate(F.substring(t, start, F.length(chosen)), ASCII_DIGITS[:10] + INDIC_DIGITS, "1357902468" + "१३५७९०२४६८௧௩௫௭௯௦௨௪௬௮")
+        return F.when(chosen.isNull() | (start < 1), t).otherwise(F.concat(F.substring(t, F.lit(1), start - 1), other, F.substring(t, start + F.length(chosen), F.length(t))))
 
-    return pd.Series([one(t, s) for t, s in zip(texts, seeds, strict=True)], dtype="object")
+    return bound(text, turned)
 
 
 def unpunctuated(text: Column) -> Column:

@@ -23,7 +23,12 @@ ALLOWED = {
     "With", "WithCTE", "CTERelationDef", "CTERelationRef", "UnionLoop", "UnionLoopRef", "WithWindowDefinition", "Window", "Pivot", "Unpivot", "Generate", "Sample", "UnresolvedTableValuedFunction", "Range",
     "UnresolvedOrderBy", "Aggregation", "GroupingSets", "UnresolvedHint", "ResolvedHint", "Expand",
 }
-DENIED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "raise_error", "current_user", "session_user"}
+#: Groups of built-in functions that compute from their arguments only; all other functions, users' own included, are refused.
+ALLOWED_GROUPS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs",
+    "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "variant_funcs", "window_funcs",
+}
+ALLOWED_TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
 #: Leading words of statements that are no queries, where the parser has no node for them.
 COMMANDS = re.compile(r"^\s*(pragma|attach|detach|vacuum|grant|revoke|call|begin|commit|declare|execute|copy|load|export|import)\b", re.I)
 MAX_ROWS, TIMEOUT_S = 10_000, 10.0
@@ -43,43 +48,72 @@ class QueryResult:
     meta: dict = field(default_factory=dict)
 
 
-def _seq(items: object) -> list:
+def sequence(items: object) -> list:
+    """A Scala sequence as a list."""
     return [items.apply(i) for i in range(items.size())]
 
 
-def _walk(node: object, jvm: object, seen: list[str], functions: set[str], tables: set[str]) -> None:
-    seen.append(node.getClass().getSimpleName())
-    if seen[-1] == "UnresolvedRelation":
-        tables.add(".".join(_seq(node.multipartIdentifier())))
-    if seen[-1] == "UnresolvedTableValuedFunction":
-        functions.add(_seq(node.name())[-1].lower())
-    if seen[-1] == "UnresolvedWith":
-        for pair in _seq(node.cteRelations()):
-            _walk(pair._2() if hasattr(pair, "_2") else pair.productElement(1), jvm, seen, functions, tables)
-    for expression in _seq(node.expressions()):
-        _walk_expression(expression, jvm, seen, functions, tables)
-    for child in _seq(node.children()):
-        _walk(child, jvm, seen, functions, tables)
-
-
-def _walk_expression(e: object, jvm: object, seen: list[str], functions: set[str], tables: set[str]) -> None:
-    name = e.getClass().getSimpleName()
-    if name == "UnresolvedFunction":
-        functions.add(_seq(e.nameParts())[-1].lower())
-    if jvm.py4j.reflection.TypeUtil.isInstanceOf(jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression"), e):
-        _walk(e.plan(), jvm, seen, functions, tables)
-    for child in _seq(e.children()):
-        _walk_expression(child, jvm, seen, functions, tables)
-
-
-def inspect(spark: SparkSession, sql: str) -> tuple[list[str], set[str], set[str]]:
-    """(plan nodes, functions, tables) of a statement that parses."""
+@dataclass
+class Parts:
+    """What a statement is made of. ``tables`` leaves out names that a WITH clause defines where they are used."""
+
+    nodes: list[str] = field(default_factory=list)
+    functions: set[str] = field(default_factory=set)
+    table_functions: set[str] = field(default_factory=set)
+    tables: set[str] = field(default_factory=set)
+    expressions: list = field(default_factory=list)
+
+
+def _walk(node: object, plan_class: object, parts: Parts, scope: frozenset[str]) -> None:
+    name = node.getClass().getSimpleName()
+    parts.nodes.append(name)
+    if name == "UnresolvedRelation":
+        path = sequence(node.multipartIdentifier())
+        if len(path) > 1 or path[0].lower() not in scope:
+            parts.tables.add(".".join(path))
+    if name == "UnresolvedTableValuedFunction":
+        parts.table_functions.add(".".join(sequence(node.name())).lower())
+    if name == "UnresolvedWith":
+        for pair in sequence(node.cteRelations()):
+            defined = pair.productElement(0).lower()
+            # its own name stands for itself only where recursion is asked for, else for the table of that name
+            _walk(pair.productElement(1), plan_class, parts, scope | {defined} if node.allowRecursion() else scope)
+            scope = scope | {defined}
+    for expression in sequence(node.expressions()):
+        _walk_expression(expression, plan_class, parts, scope)
+    for child in sequence(node.children()):
+        _walk(child, plan_class, parts, scope)
+
+
+def _walk_expression(e: object, plan_class: object, parts: Parts, scope: frozenset[str]) -> None:
+    parts.expressions.append(e)
+    if e.getClass().getSimpleName() == "UnresolvedFunction":
+        parts.functions.add(".".join(sequence(e.nameParts())).lower())
+    if plan_class.isInstance(e):
+        _walk(e.plan(), plan_class, parts, scope)
+    for child in sequence(e.children()):
+        _walk_expression(child, plan_class, parts, scope)
+
+
+def inspect(spark: SparkSession, sql: str) -> Parts:
+    """The parts of a statement that parses."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    nodes: list[str] = []
-    functions: set[str] = set()
-    tables: set[str] = set()
-    _walk(plan, spark._jvm, nodes, functions, tables)
-    return nodes, functions, tables
+    parts = Parts()
+    _walk(plan, spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression"), parts, frozenset())
+    return parts
+
+
+def parsed_expressions(spark: SparkSession, sql: str) -> list:
+    """All expressions of a statement's unresolved plan, those of subqueries included."""
+    return inspect(spark, sql).expressions
+
+
+def _permitted(spark: SparkSession, function: str) -> bool:
+    """Whether a function is a built-in of a permitted group."""
+    bare = function.removeprefix("system.").removeprefix("builtin.")
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(bare)
+    info = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(identifier)
+    return "." not in bare and info.isDefined() and info.get().getGroup() in ALLOWED_GROUPS
 
 
 def check(spark: SparkSession, sql: str, tables: set[str] | None = None) -> None:
@@ -88,19 +122,15 @@ def check(spark: SparkSession, sql: str, tables: set[str] | None = None) -> None
         raise RefusedSQL("not a query")
     if ";" in re.sub(r"'(?:[^']|'')*'", "", sql).rstrip().rstrip(";"):
         raise RefusedSQL("more than one statement")
-    nodes, functions, used = inspect(spark, sql)
-    if bad := [n for n in nodes if n not in ALLOWED]:
+    parts = inspect(spark, sql)
+    if bad := [n for n in parts.nodes if n not in ALLOWED]:
         raise RefusedSQL(f"not permitted: {bad[0]}")
-    if bad := functions & DENIED_FUNCTIONS:
-        raise RefusedSQL(f"function not permitted: {min(bad)}")
-    files = {t for t in used if "/" in t or t.split(".")[0].lower() in ("parquet", "json", "csv", "orc", "text", "binaryfile", "avro", "delta")}
-    if files or (tables is not None and used - tables - _local_names(sql)):
-        raise RefusedSQL(f"table not permitted: {min(files or used - tables)}")
-
-
-def _local_names(sql: str) -> set[str]:
-    """Names that the statement's own WITH clauses define."""
-    return set(re.findall(r"(?:\bWITH(?:\s+RECURSIVE)?|,)\s*(\w+)\s*(?:\([^()]*\))?\s+AS\s*\(", sql, re.I))
+    if bad := sorted(f for f in parts.functions if not _permitted(spark, f)) + sorted(parts.table_functions - ALLOWED_TABLE_FUNCTIONS):
+        raise RefusedSQL(f"function not permitted: {bad[0]}")
+    files = {t for t in parts.tables if "/" in t or t.split(".")[0].lower() in ("parquet", "json", "csv", "orc", "text", "binaryfile", "avro", "delta")}
+    allowed = None if tables is None else {t.lower() for t in tables}
+    if bad := sorted(files) or ([] if allowed is None else sorted(t for t in parts.tables if t.lower() not in allowed)):
+        raise RefusedSQL(f"table not permitted: {bad[0]}")
 
 
 def execute(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S, tables: set[str] | None = None) -> QueryResult:

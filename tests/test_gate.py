@@ -42,8 +42,29 @@ def test_errors_caps_and_timeouts_are_values(views):
     slow = gate.execute(views, "SELECT count(*) FROM range(4000000000) WHERE sqrt(id) + sin(id) + cos(id) < -5", timeout_s=1.0)
     assert "timeout" in slow.error
     assert gate.execute(views, "SELECT 1 AS x").rows == [(1,)]
-    with pytest.raises(gate.RefusedSQL):
-        gate.execute(views, "SELECT * FROM g_states", tables={"other"})
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM g_states", "SELECT * FROM g_states WHERE ', g_states AS (' <> ''", "SELECT * FROM g_states WHERE EXISTS (WITH g_states AS (SELECT 1 AS x) SELECT * FROM g_states)",
+    "WITH g_states AS (SELECT * FROM g_states) SELECT * FROM g_states", "WITH a AS (SELECT 1 AS x) SELECT * FROM a, default.g_states", "SELECT (SELECT max(state_id) FROM G_STATES) AS m",
+    "WITH a AS (SELECT * FROM g_states), g_states AS (SELECT 1 AS x) SELECT * FROM a",
+])
+def test_tables_beyond_the_list_are_refused(views, sql):
+    with pytest.raises(gate.RefusedSQL, match="table"):
+        gate.execute(views, sql, tables={"other"})
+
+
+def test_listed_tables_and_own_names_pass(views):
+    assert len(gate.execute(views, "WITH a AS (SELECT * FROM g_states), b AS (SELECT * FROM A) SELECT * FROM b", tables={"G_states"}).rows) == 2
+    assert len(gate.execute(views, "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r", tables=set()).rows) == 3
+
+
+def test_only_built_in_computing_functions(views):
+    views.udf.register("g_own", lambda: 1, "int")
+    for call in ("g_own()", "raise_error('x')", "session_user()", "version()", "java_method('java.lang.System', 'nanoTime')"):
+        with pytest.raises(gate.RefusedSQL, match="function"):
+            gate.execute(views, f"SELECT {call}")
+    assert gate.execute(views, "SELECT upper('a'), round(1.26, 1), coalesce(NULL, 1), date_add(DATE'2020-01-01', 1), CAST('1' AS int), IF(true, 1, 2), count(*), 'x' || 'y', 5 % 2, from_json('{\"a\":1}', 'a int')").error is None
 
 
 def test_order_problem_and_repair(views):
