@@ -1,3 +1,5 @@
+import pytest
+
 from hydrostrata.llm import canonical
 from hydrostrata.llm.placenames import latin, slips, sound, strip_levels
 
@@ -35,6 +37,35 @@ def test_blocks_of_entries_answer_alike(spark, monkeypatch):
     assert answers(spark, cases) == whole == [4, 3, 9, -1, 6]
 
 
+@pytest.mark.parametrize("size", [50, 200])
+def test_any_block_size_gives_the_answers_of_the_test_data(spark, monkeypatch, size):
+    men, gaz = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("errors_sample", "gazetteer"))
+    read = lambda: sorted(map(tuple, canonical.map_mentions(men, gaz).collect()))
+    whole = read()
+    monkeypatch.setattr(canonical, "BLOCK_ENTRIES", size)
+    monkeypatch.setattr(canonical, "SHARDS", 2)
+    assert read() == whole
+
+
+def test_the_index_finds_what_brute_force_finds(spark):
+    gaz = spark.read.parquet("/root/testdata/sf0.01/gazetteer.parquet").limit(300).collect()
+    entries = [(r.entity_id, r.level, r.state, r.district, [r.db_name]) for r in gaz]
+    index = canonical.GazetteerIndex(entries, {}, 1.0)
+    for mention in ("Jurabad", "Holepokotai", "लुचिमंगल", entries[7][4][0], entries[9][4][0][1:]):
+        bare = strip_levels(mention)[0]
+        mine, mute = canonical.forms(bare), any("\u0b80" <= c <= "\u0bff" for c in mention)
+
+        def cosine(a, b):
+            va, vb = index.vector(a, ""), index.vector(b, "")
+            return sum(w * vb.get(g, 0.0) for g, w in va.items())
+
+        every = []
+        for own in index.forms:
+            c = [cosine(x, y) for x, y in zip(mine, own, strict=True)]
+            every.append(c[1] if mute else max(0.6 * c[0] + 0.4 * c[1], c[2]))
+        assert index.scores(*mine, mute) == pytest.approx(every, abs=1e-5)
+
+
 def test_empty_reference_list_and_mentions(spark):
     assert answers(spark, [("Jurabad", None)], []) == [-1] and answers(spark, []) == []
 
