@@ -38,6 +38,7 @@ SIZES = (2, 3)
 THRESHOLD, MARGIN = 0.2, 0.1
 #: The exact check of an accepted entry: cosine that so many slips (0, 1, 2, more) call for.
 SLIPS = (0.0, 0.0, 0.5, 0.75)
+MOST_SLIPS = len(SLIPS) - 1
 NONE = -1
 #: Weight of the voiceless form's cosine; 1 for scripts that do not write voice.
 VOICELESS = 0.4
@@ -87,12 +88,11 @@ class GazetteerIndex:
     def scores(self, spoken: str, plain: str, written: str, voiceless_only: bool) -> np.ndarray:
         """Weighted cosine with every form of the block."""
         def cosine(form: str, tag: str) -> np.ndarray:
-            total = np.zeros(len(self.forms), np.float32)
-            for g, w in self.vector(form, tag).items():
-                if g in self.postings:
-                    at, stored = self.postings[g]
-                    total[at] += w * stored
-            return total
+            met = [(w, *self.postings[g]) for g, w in self.vector(form, tag).items() if g in self.postings]
+            if not met:
+                return np.zeros(len(self.forms))
+            weights = np.repeat([w for w, _, _ in met], [len(at) for _, at, _ in met])
+            return np.bincount(np.concatenate([at for _, at, _ in met]), weights * np.concatenate([stored for _, _, stored in met]), len(self.forms))
 
         if voiceless_only:
             return cosine(plain, "~")
@@ -117,9 +117,11 @@ class GazetteerIndex:
             return []
         rows = np.flatnonzero(scores >= max(top - MARGIN, THRESHOLD)) if top >= THRESHOLD else np.flatnonzero(scores == top)
         found: dict[int, tuple[float, int]] = {}
-        for r in rows:
+        # an equal form is the best there can be, so beside one the slips of others do not matter
+        equal = [plain == self.forms[r][1] if mute else spoken == self.forms[r][0] or written == self.forms[r][2] for r in rows]
+        for r, same in zip(rows, equal, strict=True):
             own = self.forms[r]
-            n = slips(plain, own[1]) if mute else min(slips(spoken, own[0]), slips(written, own[2]))
+            n = 0 if same else MOST_SLIPS if any(equal) else slips(plain, own[1]) if mute else min(slips(spoken, own[0]), slips(written, own[2]))
             e = int(self.owner[r])
             if e not in found or (n, -float(scores[r])) < (found[e][1], -found[e][0]):
                 found[e] = (float(scores[r]), n)
