@@ -55,11 +55,69 @@ def test_cut_letters_are_not_restored(spark, result):
     assert row is not None and row.restored is None
 
 
-def test_a_symbol_outside_the_page_is_learnt(spark):
-    names = [n for n in CLEAN for _ in range(30)]
-    swapped = [garble(n, "cp1252").replace("¤", "¶") for n in CLEAN if "ढ" in n or "क" in n for _ in range(40)]
-    model = mojibake.fit(spark.createDataFrame([(n,) for n in names + swapped + [garble(n, "cp1252") for n in CLEAN for _ in range(20)]], "name string"))
-    assert model.ciphers["cp1252"]["â"] == 0xE2 and model.shares["cp1252"] > model.shares["koi8_r"]
+def test_what_names_say_replaces_the_published_entry(spark):
+    # a page like cp1252 but for one symbol, which that page does not have at all
+    swapped = [garble(n, "cp1252").replace("¤", "₪") for n in CLEAN for _ in range(20)]
+    names = [n for n in CLEAN for _ in range(30)] + [garble(n, "cp1252") for n in CLEAN for _ in range(2)] + swapped
+    assert "₪" not in mojibake.page_table("cp1252")
+    model = mojibake.fit(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert any(t.get("₪") == 0xA4 for t in model.ciphers.values())
+
+
+@pytest.mark.parametrize("page, pages", [("mac_latin2", mojibake.PAGES), ("cp1256", mojibake.PAGES), ("cp1252", ())])
+def test_a_page_that_nothing_is_known_of_is_learnt(spark, page, pages):
+    assert page not in pages
+    tables = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").selectExpr(f"{c} AS name") for t, c in (("districts", "district_name"), ("assessment_units", "unit_name")))
+    real = [r[0] for r in next(tables).union(next(tables)).where("name is not null").distinct().orderBy("name").collect()]
+    draw = random.Random(8)
+    draw.shuffle(real)
+    sound = [n for n in real if not mojibake._suspect(n, mojibake._initial(mojibake.PAGES))]
+    other = [n for n in sound if not n.isascii()]
+    clean = [n for n in sound if n.isascii()][:5000] + other[400:] + ODD
+    wrong = {garble(n, page): n for n in other[:400]}
+    names = [*clean, *wrong]
+    model = mojibake.fit(spark.createDataFrame([(n,) for n in names], "name string"), pages=pages)
+    truth = mojibake.page_table(page)
+    # entries that no table given before has
+    fresh_symbols = {c: b for c, b in truth.items() if all(mojibake.page_table(p).get(c) != b for p in pages)}
+    shown = mojibake.Counter(c for g in wrong for c in g if c in fresh_symbols)
+    table = max(model.ciphers.values(), key=lambda t: sum(n for c, n in shown.items() if t.get(c) == truth[c]))
+    assert sum(n for c, n in shown.items() if table.get(c) == truth[c]) >= 0.95 * shown.total() > 0
+    assert {c: table.get(c) for c, b in truth.items() if b in (0xE0, 0xA4, 0xA5)} == {c: b for c, b in truth.items() if b in (0xE0, 0xA4, 0xA5)}
+    rows = spark.createDataFrame([("d", str(i), n) for i, n in enumerate(names)], "table_name string, record_id string, name string")
+    got = {r.name: r.restored for r in mojibake.garbled(rows, "name", model).collect()}
+    assert not set(got) & set(clean) and len(set(wrong) & set(got)) >= 0.93 * len(wrong)
+    assert sum(got.get(g) == n for g, n in wrong.items()) >= 0.75 * len(wrong)
+
+
+def test_forward_backward_counts_what_enumeration_counts():
+    model = mojibake.Model(mojibake._bigrams([("सर", 3), ("éa", 2), ("रस", 1), ("ésर", 1)]).astype(float), {}, {})
+    letters, symbols = "éरस", "abcdef"
+    table = mojibake.np.random.default_rng(1).random((128, 6))
+    reader = mojibake.Decipherer(model, letters, symbols, table)
+    for run in ("ab", "abc", "abcde", "fedcbabc", "abababababab"):
+        counts = mojibake.np.zeros((128, 6))
+        log = reader.read("^", run, "$", counts)
+        wanted, total = mojibake.np.zeros((128, 6)), 0.0
+
+        def spell(at, text, p, run=run):
+            nonlocal wanted, total
+            if at == len(run):
+                p *= mojibake.np.exp(model.chance(text[-1], "$"))
+                total += p
+                for b, s in zip(text[1:].encode(), run, strict=True):
+                    wanted[b - 0x80, symbols.index(s)] += p
+                return
+            for c in letters:
+                code = c.encode()
+                if at + len(code) <= len(run):
+                    q = p * mojibake.np.exp(model.chance(text[-1], c))
+                    for j, b in enumerate(code):
+                        q *= table[b - 0x80, symbols.index(run[at + j])]
+                    spell(at + len(code), text + c, q)
+
+        spell(0, "^", 1.0)
+        assert log == pytest.approx(mojibake.np.log(total)) and counts == pytest.approx(wanted / total, abs=1e-9)
 
 
 def test_empty_tables(spark):
