@@ -149,8 +149,8 @@ class Model:
         """Whether ``name`` is no regular text and no cipher reads it, or the one that does lacks a symbol of it."""
         if LOST in name or not irregular(name):
             return False
-        source, restored, _ = self.best(name)
-        return source == CLEAN or (source != UTF16 and _HOLE.search(restored.translate(self.maps[source])) is not None)
+        source = self.best(name)[0]
+        return source == CLEAN or (source != UTF16 and _HOLE.search(name.translate(self.maps[source])) is not None)
 
     def fill(self, name: str) -> str | None:
         """``name`` with lost letters filled, or None where no letter is clearly best."""
@@ -515,7 +515,7 @@ def garbled(rows: DataFrame, name: Column | str, model: Model) -> DataFrame:
             out = []
             for text in batch:
                 source, restored, p = own.best(text)
-                if source not in (CLEAN, UTF16) and (LOST in restored or own.leftover(restored, source)):
+                if source not in (CLEAN, UTF16) and (LOST in restored or own.leftover(restored, source) or irregular(restored)):
                     restored = None
                 elif LOST in restored:
                     source, restored = "lost", own.fill(restored)
