@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrostrata.operators.nested import nesting_depth
+
 #: Level of the records below a request, and the parts of a record that are no facts.
 CHILD_LEVEL = {"COUNTRY": "state", "STATE": "district", "DISTRICT": "unit"}
 NOT_FACTS = ("computationSummary", "gwlevelData", "reportSummary", "locationName", "locationUUID")
@@ -12,7 +14,6 @@ NOT_FACTS = ("computationSummary", "gwlevelData", "reportSummary", "locationName
 BELOW_UNIT = ("VILLAGE", "FIRKA", "WATERSHED")
 #: Category labels as delivered and as stored.
 CATEGORIES = {"safe": "Safe", "semi_critical": "Semi-Critical", "critical": "Critical", "over_exploited": "Over-Exploited", "salinity": "Saline", "hilly": "Hilly Area"}
-DEPTH = 12
 
 
 def records(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -45,11 +46,12 @@ def locations(recs: DataFrame) -> DataFrame:
     )
 
 
-def facts_long(located: DataFrame, depth: int = DEPTH) -> DataFrame:
+def facts_long(located: DataFrame, depth: int | None = None) -> DataFrame:
     """(year, level, uuid, field, value_str, value_num): every non-null scalar of a record; lists are left out.
 
-    ``depth`` bounds the nesting below a record; the chain is one narrow pass.
+    ``depth`` is the deepest nesting below a record, found by a pass over all records unless given; the chain is narrow.
     """
+    depth = nesting_depth(located, "rec") if depth is None else depth
     df = located.select("year", "level", "uuid", F.lit("").alias("field"), F.col("rec").alias("v"))
     members = F.expr("map_entries(try_cast(v AS MAP<STRING, VARIANT>))")
     for _ in range(depth):

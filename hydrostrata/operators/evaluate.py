@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 REL, ABS = 1e-6, 1e-9
 RESAMPLES = 2000
@@ -50,21 +54,31 @@ def multiset_difference(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFram
     return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
 
 
-def bootstrap(df: DataFrame, by: str, metric: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+def bootstrap(df: DataFrame, by: str, metric: str, resamples: int = RESAMPLES, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
     """(by, n, mean, low, high): mean of ``metric`` per group with a 95 % bootstrap interval.
 
-    Poisson bootstrap: every row draws its weight in every resample from a hash, so resamples are
-    made where the rows lie and only sums are shuffled; nulls of ``by`` are a group.
+    Poisson bootstrap: every row draws its weight in every resample from a generator seeded by its ``keys``, which
+    must tell rows apart, so the interval does not depend on the layout. Without keys the rows' numbers serve, and it
+    does. Weights are drawn and summed where the rows lie; one row a group and resample is shuffled. Nulls of
+    ``by`` are a group.
     """
-    rows = df.select(F.col(by).alias("by"), F.col(metric).cast("double").alias("m")).where("m is not null").withColumn("_row", F.monotonically_increasing_id())
-    uniform = (F.pmod(F.xxhash64("_row", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, total = [], 0.0
-    for k in range(9):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    weight = sum(((uniform > s).cast("int") for s in steps), F.lit(0))
-    drawn = rows.select("by", "m", "_row", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight).where("w > 0")
-    means = drawn.groupBy("by", "b").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("mean"))
+    key = F.xxhash64(*keys, F.lit(seed)) if keys else F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    rows = df.select(F.col(by).alias("by"), F.col(metric).cast("double").alias("m"), key.alias("_key")).where("m is not null")
+    kind = to_arrow_type(rows.schema["by"].dataType)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            for group, m, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                weight = np.random.Generator(np.random.Philox(key=k & (1 << 64) - 1)).poisson(1.0, resamples)
+                total = sums.setdefault(group, np.zeros((2, resamples)))
+                total[0] += weight * m
+                total[1] += weight
+        for group, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([group] * resamples, kind), pa.array(np.arange(resamples), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["by", "b", "s", "w"])
+
+    drawn = rows.mapInArrow(draw, StructType([rows.schema["by"], *(StructField(c, t) for c, t in (("b", IntegerType()), ("s", DoubleType()), ("w", DoubleType())))]))
+    means = drawn.groupBy("by", "b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean"))
     limits = means.groupBy("by").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     plain = rows.groupBy("by").agg(F.count("*").alias("n"), F.avg("m").alias("mean"))
     return plain.join(limits, plain["by"].eqNullSafe(limits["by"])).select(plain["by"].alias(by), "n", F.round("mean", 4).alias("mean"), F.round(F.col("p")[0], 4).alias("low"), F.round(F.col("p")[1], 4).alias("high"))
@@ -98,7 +112,7 @@ def error_category(error: Column, sql: Column, gold_sql: Column, places: Column)
     metrics = lambda text: F.array_except(found(text, r"\b(?:ua|da|sa|a|b|ua2)\.(\w+)"), F.array(F.lit("unit_id"), F.lit("assessment_year")))
     calls = lambda text: F.array_sort(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b(AVG|SUM|COUNT|MAX|MIN)\s*\("), 1), lambda c: F.upper(c)))
     return (
-        F.when(error.isNotNull() | sql.isNull(), "no SQL / execution error").when(~has_places, "place missing")
+        F.when(error.isNotNull() | sql.isNull(), "no SQL / execution error").when(~has_places, "gold place literal missing from SQL")
         .when(found(sql, r"'(\d{4}-\d{4})'") != found(gold_sql, r"'(\d{4}-\d{4})'"), "wrong assessment year").when(metrics(sql) != metrics(gold_sql), "wrong metric / column")
-        .when(calls(sql) != calls(gold_sql), "wrong aggregation").otherwise("other")
+        .when(calls(sql) != calls(gold_sql), "wrong aggregation").otherwise("other (filters, joins, output shape)")
     )

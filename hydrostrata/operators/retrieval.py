@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Different query terms up to which a document's words are compared with them in the row; beyond, by a join with the same result.
+MOST_TERMS = 1_000
 
 
 def tokens(text: Column) -> Column:
@@ -18,11 +20,16 @@ def bm25(documents: DataFrame, queries: DataFrame, doc_id: str, text: str, query
 
     Terms a query repeats count as often. Documents without terms count in the corpus size.
     """
+    terms_asked = queries.select(F.explode(tokens(F.col(query))).alias("term")).distinct()
+    few = [r[0] for r in terms_asked.limit(MOST_TERMS + 1).collect()]
     docs = documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_length")).first()
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     # only terms that a query holds are counted; all documents are
-    words = docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    if len(few) <= MOST_TERMS:  # other words are dropped inside the row, before anything is exploded
+        words = docs.select("doc_id", F.size("t").alias("length"), F.explode(F.filter("t", lambda x: x.isin(few))).alias("term"))
+    else:
+        words = docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(terms_asked, "term", "left_semi")
     terms = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import grounding, text
 from hydrostrata.operators import audit, crosswalk, etl, evaluate, lexical, places, retrieval, windows
+from hydrostrata.plans import oracles
 from hydrostrata.plans.star import STAR_SQL, star
 from hydrostrata.session import checkpointed
 from hydrostrata.sources.tables import table
@@ -101,8 +102,8 @@ def a23_paired_counts(spark, folder):
 @query()
 def a24_bootstrap_by_state(spark, folder):
     t = star(spark, folder)
-    rows = t["unit_facts"].join(t["units"], "unit_id").join(t["districts"], "district_id").where(F.col("assessment_year") == _FIRST)
-    return evaluate.bootstrap(rows, "state_id", "stage", 400)
+    rows = t["unit_facts"].join(t["units"], "unit_id").join(t["districts"], "district_id")
+    return evaluate.bootstrap(rows, "state_id", "stage", keys=["unit_id", "assessment_year"])
 
 
 @query("SELECT language, count(*)::BIGINT AS n, round(avg(len(question)), 4) AS mean FROM ingres_bench_v1 GROUP BY 1")
@@ -157,7 +158,8 @@ def w9_trend_share(spark, folder):
 def w11_greedy_spans(spark, folder):
     known = table(spark, folder, "ingres_bench_v1").select(F.explode("entities").alias("e"))
     names = known.select(F.lower("e.display").alias("span"), F.length("e.display").cast("double").alias("score")).distinct()
-    rows = table(spark, folder, "ingres_bench_v1").select("id", F.explode(windows.word_spans(F.regexp_replace(F.lower("question"), r"[^\p{L}\p{M}\p{N} -]", " "), 2)).alias("s")).select("id", "s.*")
+    asked = table(spark, folder, "ingres_bench_v1").select("id", "question").distinct()
+    rows = asked.select("id", F.explode(windows.word_spans(F.regexp_replace(F.lower("question"), r"[^\p{L}\p{M}\p{N} -]", " "), 3)).alias("s")).select("id", "s.*")
     return windows.greedy_spans(rows.join(names, "span").select("id", "start", "stop", "score").distinct(), "id")
 
 
@@ -226,9 +228,11 @@ def e05_foreign_keys(spark, folder):
     return audit.foreign_key_violations(table(spark, folder, "orders"), "o_custkey", parents, "c_custkey")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS kind, count(*)::BIGINT AS rows, round(avg(({c} IS NULL)::INT), 6) AS null_rate, list_sort(list_distinct([min({c}::VARCHAR), max({c}::VARCHAR)])) AS examples FROM orders" for c, k in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string"))))
 def e06_profile(spark, folder):
-    return audit.profile(table(spark, folder, "orders"))
+    """The profile of the orders; approximate distinct counts and numbers that engines write differently aside."""
+    profile = audit.profile(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return profile.select("column", "kind", "rows", "null_rate", F.array_sort("examples").alias("examples"))
 
 
 @query("WITH g AS (SELECT state_id, list_sort(list(DISTINCT unit_type) FILTER (assessment_year = '1997-1998')) AS t0, list_sort(list(DISTINCT unit_type) FILTER (assessment_year = '1999-2000')) AS t1, sum(n_units) FILTER (assessment_year = '1997-1998') AS n0, sum(n_units) FILTER (assessment_year = '1999-2000') AS n1 FROM s_granularity GROUP BY 1) SELECT state_id, coalesce(t0 = t1 AND abs(n1 / n0 - 1) <= 0.10, false) AS comparable FROM g", model=True)
@@ -293,13 +297,13 @@ def r2_dense_top_k(spark, folder):
     return found.select("query_key", "key", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e), p AS (SELECT a.vec_id AS q, b.vec_id AS k, a.label = b.label AS hit, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT q, hit, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS rk FROM p QUALIFY rk <= 5), g AS (SELECT q, min(rk) AS f, avg((rk <= 1)::INT) AS a, avg((rk <= 3)::INT) AS b, avg((rk <= 5)::INT) AS c FROM r WHERE hit GROUP BY q) SELECT round(avg(a), 6) AS r_at_1, round(avg(b), 6) AS r_at_3, round(avg(c), 6) AS r_at_5, round(avg(1.0 / f), 6) AS mrr FROM g")
 def r3_rank_metrics(spark, folder):
     elements = table(spark, folder, "embeddings")
     ranked = retrieval.dense_top_k(elements, elements.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
     labels = elements.select(F.col("vec_id").alias("key"), "label")
     gold = ranked.join(labels, "key").join(elements.select(F.col("vec_id").alias("query_key"), F.col("label").alias("own")), "query_key").where("label = own").select("query_key", "key")
-    return retrieval.rank_metrics(ranked, gold)
+    return retrieval.rank_metrics(ranked, gold).select(*[F.round(c, 6).alias(c) for c in ("r_at_1", "r_at_3", "r_at_5", "mrr")])
 
 
 @query()
@@ -312,7 +316,7 @@ def r5_nearest_question(spark, folder):
     return scored.groupBy("query_key").agg(F.max_by("key", F.struct("score", "key")).alias("key"))
 
 
-@query()
+@query(oracles.R14_CYCLES)
 def r14_cycle_labels(spark, folder):
     return table(spark, folder, "ingres_bench_v1").select("id", text.cycle_labels(F.col("question")).alias("labels"))
 
@@ -330,7 +334,7 @@ def r16_language_tags(spark, folder):
     return lexical.tag_words(model, docs.select(F.explode(lexical.words(F.col("text"))).alias("word")), "word")
 
 
-@query()
+@query("WITH t AS (SELECT language, regexp_extract_all(lower(question), '[\\pL\\pM]+') AS w FROM ingres_bench_v1), c AS (SELECT language, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]+$'))) AS latin, len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in lexical.HINDI_WORDS) + "))) AS hindi FROM t) SELECT language, round(avg(round(coalesce(CASE language WHEN 'hindi' THEN least(latin, n - latin) WHEN 'tamil' THEN least(latin, n - latin) WHEN 'hinglish' THEN least(hindi, n - hindi) ELSE 0 END / nullif(n, 0), 0), 6)), 6) AS mix FROM c GROUP BY 1")
 def r17_code_mix(spark, folder):
     rows = table(spark, folder, "ingres_bench_v1")
     return rows.groupBy("language").agg(F.round(F.avg(lexical.code_mix(F.col("question"), F.col("language"))), 6).alias("mix"))
@@ -430,7 +434,7 @@ def a07_having(spark, folder):
     return joined.groupBy("district_name").agg(F.count("*").alias("n"), F.count_if(F.col("category").isin("Critical", "Over-Exploited")).alias("stressed")).where(F.col("stressed") * 2 > F.col("n"))
 
 
-@query()
+@query("WITH p AS (SELECT canonical_id, canonical_name, district_name, count(DISTINCT assessment_year)::BIGINT AS cycles FROM crosswalk_fuzzy_review_sample WHERE canonical_name IS NOT NULL AND district_name IS NOT NULL GROUP BY ALL), a AS (SELECT upper(trim(canonical_name)) AS name FROM p GROUP BY 1 HAVING count(DISTINCT district_name) >= 2), k AS (SELECT canonical_id, upper(trim(canonical_name)) AS canonical_name, district_name, cycles FROM p) SELECT * FROM k WHERE canonical_name NOT IN (SELECT name FROM a) QUALIFY row_number() OVER (PARTITION BY district_name ORDER BY cycles DESC, canonical_name, canonical_id) <= 3")
 def e09_entity_pool(spark, folder):
     """A stratified pool: three units of every district, first those seen in most cycles, names not ambiguous."""
     rows = table(spark, folder, "crosswalk_fuzzy_review_sample").where("canonical_name is not null and district_name is not null")

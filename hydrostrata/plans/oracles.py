@@ -37,3 +37,45 @@ versions AS (
 P4_FOUND = f"WITH {_VERSIONS} SELECT entity AS canonical_id, valid_from, valid_to FROM versions WHERE n > 1"
 
 P4_VERSIONS = f"WITH {_VERSIONS} SELECT entity, seq::INT AS seq, payload, valid_from, valid_to FROM versions"
+
+_RECORDS = """
+bodies AS (SELECT DISTINCT record_id, try_cast(body AS JSON) AS j FROM ingres_raw WHERE body IS NOT NULL),
+counted AS (SELECT record_id, j, json_extract(j, '$.response') AS r, CASE json_type(j, '$.response') WHEN 'ARRAY' THEN json_array_length(j, '$.response')::BIGINT ELSE 1 END AS n FROM bodies WHERE coalesce(json_type(j, '$.response'), 'NULL') <> 'NULL'),
+records AS (SELECT record_id, k AS loc_index, CASE json_type(r) WHEN 'ARRAY' THEN json_extract(r, '$[' || k || ']') ELSE r END AS rec FROM (SELECT record_id, r, unnest(range(n)) AS k FROM counted) u)
+"""
+
+_SECTIONS = ("rechargeData", "draftData", "stageOfExtraction", "currentAvailabilityForAllPurposes")
+
+#: Leaves by a recursive walk of the JSON.
+_LEAVES = f"""
+named AS ({" UNION ALL ".join(f"SELECT record_id, loc_index, '{x}' AS section, json_extract(rec, '$.{x}') AS v FROM records" for x in _SECTIONS)}),
+decoded AS (SELECT record_id, loc_index, section, CASE WHEN json_type(v) = 'VARCHAR' THEN coalesce(try_cast(json_extract_string(v, '$') AS JSON), v) ELSE v END AS v FROM named WHERE v IS NOT NULL),
+walk AS (
+  SELECT record_id, loc_index, section, section AS path, v FROM decoded
+  UNION ALL
+  SELECT record_id, loc_index, section, path || CASE json_type(v) WHEN 'ARRAY' THEN '[' || key || ']' ELSE '.' || key END, child
+  FROM (SELECT record_id, loc_index, section, path, v,
+    unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: i::VARCHAR) ELSE [] END) AS key,
+    unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: json_extract(v, '$."' || k || '"')) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: json_extract(v, '$[' || i || ']')) ELSE [] END) AS child FROM walk) w),
+leaves AS (SELECT DISTINCT record_id, loc_index, section, path AS leaf_path, json_extract_string(v, '$') AS value, json_type(v) AS kind FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+"""
+
+P2_FOUND = f"WITH RECURSIVE {_RECORDS}, {_LEAVES} SELECT DISTINCT record_id, loc_index, leaf_path FROM leaves"
+
+#: Leaves per table and column of the merged schema; numbers are counted where they are no text.
+P2_SCHEMA = f"""WITH RECURSIVE {_RECORDS}, {_LEAVES}
+SELECT regexp_replace(CASE WHEN contains(leaf_path, '[') THEN regexp_extract(leaf_path, '^(.*\\])', 1) ELSE section END, '\\[[0-9]+\\]', '[]', 'g') AS table_path,
+  CASE WHEN contains(leaf_path, '[') THEN ltrim(regexp_replace(leaf_path, '^.*\\]', ''), '.') ELSE ltrim(substr(leaf_path, len(section) + 1), '.') END AS column_path,
+  count(*)::BIGINT AS n_values, count(try_cast(value AS DOUBLE))::BIGINT AS n_numbers FROM leaves GROUP BY 1, 2"""
+
+R14_CYCLES = r"""WITH p AS (SELECT row_number() OVER () AS r, id, regexp_extract_all(translate(question, '०१२३४५६७८९௦௧௨௩௪௫௬௭௮௯', '01234567890123456789'), '[\pL\pM_][\pL\pM\pN_.]*|\.[0-9]+|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|[^\s]') AS t FROM ingres_bench_v1),
+x AS (SELECT r, i, t[i] AS w, t[i + 1] AS a, t[i + 2] AS b, CASE WHEN i > 1 THEN t[i - 1] END AS c, CASE WHEN i > 2 THEN t[i - 2] END AS d FROM (SELECT r, t, unnest(range(1, len(t) + 1)) AS i FROM p) q),
+y AS (SELECT r, i, w::INT AS y, a, b, lower(c) AS c, lower(d) AS d, a IN ('-', '–', '/') AND regexp_matches(b, '^[0-9]+$') AS ranged,
+  CASE WHEN lower(a) IN ('के', 'की', 'का', 'ke', 'ki', 'ka') THEN lower(b) ELSE lower(a) END AS f, CASE WHEN lower(c) IN ('of', 'for', 'year') THEN lower(d) ELSE lower(c) END AS g
+  FROM x WHERE regexp_matches(w, '^20[0-9][0-9]$')),
+z AS (SELECT r, i, CASE WHEN coalesce(ranged, false) THEN CASE WHEN len(b) IN (2, 4) AND b::INT IN (y + 1, (y + 1) % 100) THEN y END
+  WHEN (regexp_matches(coalesce(f, ''), '^(assessment|gwra|आकलन|akalan|aaklan|மதிப்பீட்ட|மதிப்பீடு)') AND NOT (coalesce(c, '') IN ('-', '–', '/') AND regexp_matches(coalesce(d, ''), '[0-9]$')))
+    OR coalesce(g, '') IN ('assessment', 'gwra', 'आकलन', 'akalan', 'aaklan', 'மதிப்பீட்ட', 'மதிப்பீடு') THEN y - 1 END AS y FROM y),
+l AS (SELECT r, min(i) AS i, y FROM z WHERE y IS NOT NULL GROUP BY r, y),
+s AS (SELECT r, list(y::VARCHAR || '-' || (y + 1)::VARCHAR ORDER BY i) AS labels FROM l GROUP BY r)
+SELECT id, coalesce(labels, []::VARCHAR[]) AS labels FROM p LEFT JOIN s USING (r)"""

@@ -46,4 +46,4 @@ def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_integer_keys, p2_found, p2_values, p2_schema, p4_found, p4_versions)}
-ORACLES = {"p1_found": oracles.P1_FOUND, "p1_counts": oracles.P1_COUNTS, "p1_integer_keys": oracles.P1_INTEGER, "p4_found": oracles.P4_FOUND, "p4_versions": oracles.P4_VERSIONS}
+ORACLES = {"p2_found": oracles.P2_FOUND, "p2_schema": oracles.P2_SCHEMA, "p1_found": oracles.P1_FOUND, "p1_counts": oracles.P1_COUNTS, "p1_integer_keys": oracles.P1_INTEGER, "p4_found": oracles.P4_FOUND, "p4_versions": oracles.P4_VERSIONS}
