@@ -102,7 +102,7 @@ def word_spans(text: Column, most: int = 3) -> Column:
 
 def hash_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """``n`` rows chosen by a hash of their keys: the same rows in every run and layout."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *keys, F.lit(seed))), *keys).limit(n)
 
 
 def capped(df: DataFrame, most: int) -> tuple[list[tuple], bool]:

@@ -367,7 +367,7 @@ def t1_top_k(spark, folder):
     return table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|7'), o_orderkey LIMIT 100")
 def t8_hash_sample(spark, folder):
     return windows.hash_sample(table(spark, folder, "orders").select("o_orderkey"), 100, 7, "o_orderkey")
 
@@ -471,22 +471,22 @@ def r4_schema_elements(spark, folder):
     return windows.top_per_key(found, ["query_id"], 5, F.desc("score"), "doc_id").select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("WITH r AS (SELECT DISTINCT id, intent, question, columns[1] AS c FROM ingres_bench_v1 WHERE split = 'train' AND columns IS NOT NULL), o AS (SELECT intent, list_sort(list(DISTINCT c)) AS every FROM r GROUP BY 1), j AS (SELECT id, question, list_filter(every, lambda x: x <> c) AS others FROM r JOIN o USING (intent)) SELECT id, question, c AS \"column\", true AS \"right\" FROM r UNION ALL SELECT id, question, others[(('0x' || substr(md5(id), 1, 8))::BIGINT % len(others) + 1)::INT], false FROM j WHERE len(others) > 0")
 def r20_training_pairs(spark, folder):
     """(question, column, right): each labelled question with its column and with a confusable one of the same intent."""
     rows = table(spark, folder, "ingres_bench_v1").where("split = 'train' and columns is not null").dropDuplicates(["id"]).select("id", "intent", "question", F.col("columns")[0].alias("column"))
     options = rows.groupBy("intent").agg(F.array_sort(F.collect_set("column")).alias("all"))
     joined = rows.join(options, "intent").withColumn("others", F.array_except("all", F.array("column")))
-    hard = joined.where("size(others) > 0").select("id", "question", F.element_at("others", (F.pmod(F.xxhash64("id"), F.size("others").cast("long")) + 1).cast("int")).alias("column"), F.lit(False).alias("right"))
+    hard = joined.where("size(others) > 0").select("id", "question", F.element_at("others", (F.pmod(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long"), F.size("others").cast("long")) + 1).cast("int")).alias("column"), F.lit(False).alias("right"))
     return rows.select("id", "question", "column", F.lit(True).alias("right")).unionByName(hard)
 
 
-@query()
+@query("WITH s AS (SELECT * FROM s_units QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY md5(unit_id::VARCHAR), unit_id) <= 2), f AS (SELECT f.unit_id, assessment_year, total, unit_name FROM s_unit_facts f JOIN s USING (unit_id) WHERE total IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f.unit_id ORDER BY md5(f.unit_id || '|' || assessment_year), assessment_year) = 1), g AS (SELECT unit_id AS id, 'What was the total of ' || unit_name || ' in ' || assessment_year || '?' AS question, round(total, 2) AS gold, ('0x' || substr(sha256(unit_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS h FROM f) SELECT id, question, gold, CASE WHEN h < 0.6 THEN 'train' WHEN h < 0.8 THEN 'dev' ELSE 'test' END AS split FROM g", model=True)
 def e10_generated_items(spark, folder):
     """Question items of a template with their results: a unit of every district and a cycle by hash, results valid and given."""
     t = star(spark, folder)
-    sampled = windows.top_per_key(t["units"], ["district_id"], 2, F.xxhash64("unit_id"), "unit_id")
+    sampled = windows.top_per_key(t["units"], ["district_id"], 2, F.md5(F.col("unit_id").cast("string")), "unit_id")
     facts = t["unit_facts"].where("total is not null").join(sampled, "unit_id", "left_semi")
-    one = windows.top_per_key(facts, ["unit_id"], 1, F.xxhash64("unit_id", "assessment_year"), "assessment_year").join(t["units"], "unit_id")
+    one = windows.top_per_key(facts, ["unit_id"], 1, F.md5(F.concat_ws("|", "unit_id", "assessment_year")), "assessment_year").join(t["units"], "unit_id")
     item = F.format_string("What was the total of %s in %s?", "unit_name", "assessment_year")
     return audit.hash_split(one.select(F.col("unit_id").alias("id"), item.alias("question"), F.round("total", 2).alias("gold")), "id", {"train": 0.6, "dev": 0.2, "test": 0.2})

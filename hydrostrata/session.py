@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +32,49 @@ def get_session(app: str = "hydrostrata", master: str | None = None, **conf: obj
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local folder is set only where no
-    folder is configured at all, as in tests on one machine.
+    Only where no folder is configured at all, as in tests on one machine, a local one is made; it goes with the process.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not (context.master or "").startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not (context.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hydrostrata-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="hydrostrata-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], dict[str, DataFrame]], partitioned: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """The tables of ``build()``, written once a session to the shared folder under ``name`` and read from there.
+
+    ``partitioned`` names the columns by which a table is laid out.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        base = f"{shared_folder(spark).rstrip('/')}/{key[0]}-{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+        tables = build()
+        for table, df in tables.items():
+            columns = (partitioned or {}).get(table, [])
+            laid = df.repartition(*columns) if columns else df
+            laid.write.mode("overwrite").partitionBy(*columns).parquet(f"{base}/{table}")
+        _STORED[key] = {table: spark.read.schema(df.schema).parquet(f"{base}/{table}").select(*df.columns) for table, df in tables.items()}
+    return _STORED[key]
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` hash-partitioned for work that is heavy per row, so that few bytes do not mean few tasks.
 
