@@ -8,8 +8,10 @@ range of suffixes that agree in the first ``min_words`` words holds every match,
 The suffix array is sparse without losing a match: a suffix whose first ``min_words`` words hold a
 word that occurs in no item cannot match, so it is left out before sorting.
 
-The job is one scan without a shuffle. Items are the stated query set; they go to the
-executors in blocks of at most ``BLOCK_WORDS`` words, whatever their number.
+The job is one scan of the documents without a shuffle. Items are the stated query set; they are broadcast
+in blocks of at most ``BLOCK_WORDS`` words, whatever their number, and every shard is searched by all of them.
+Of overlapping places of one match only the leftmost is listed, so the work grows with the matches, not
+with their lengths.
 
 Words: parted by white space, letter case and signs dropped, words of signs only not counted.
 Documents that are null, empty or shorter than ``min_words`` words match nothing; so do such items.
@@ -115,15 +117,21 @@ class SuffixMatcher:
         head = _pair(base, _shift(base, m - level)) if m > level else base
         order = _pair(ranks[-1], _shift(ranks[-1], longest - k)) if longest > k else ranks[-1]
         suffixes = place[left[kept] >= m]
-        array = suffixes[np.argsort(order[suffixes], kind="stable")]  # the suffix array
+        # the suffix array, within each first ``min_words`` words by the word before: a match that a longer one to its left holds is never listed
+        ahead = np.where(suffixes > 0, text[suffixes - 1], -1)
+        array = suffixes[np.lexsort((order[suffixes], ahead, head[suffixes]))]
         tests = np.flatnonzero(self.left >= m)
-        lo = np.searchsorted(head[array], head[items_at[tests]], "left")
-        hi = np.searchsorted(head[array], head[items_at[tests]], "right")
-        hits = hi - lo
+        at = items_at[tests]
+        heads, wanted = head[array], head[at]
+        lo, hi = np.searchsorted(heads, wanted, "left"), np.searchsorted(heads, wanted, "right")
+        both = heads.astype(np.int64) * (total + 1) + np.where(array > 0, text[array - 1], -1)
+        same = wanted.astype(np.int64) * (total + 1) + text[at - 1]
+        skip, back = np.searchsorted(both, same, "left"), np.searchsorted(both, same, "right")
+        starts_, hits = np.concatenate([lo, back]), np.concatenate([skip - lo, hi - back])
         if not hits.any():
             return None
-        test = np.repeat(tests, hits)
-        where = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(lo, hits)
+        test = np.repeat(np.concatenate([tests, tests]), hits)
+        where = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(starts_, hits)
         i, j = array[where].copy(), items_at[test].copy()
         origin = np.full(total, -1, np.int64)
         origin[place] = kept
@@ -143,16 +151,19 @@ class SuffixMatcher:
         return {"doc_id": doc_ids[d[one]], "item_id": item[one], "n_words": common[one], "doc_word": (found - offset[d])[one], "item_word": self.at[test][one]}
 
 
-def _search(items: list[tuple[int, list[int]]], min_words: int):
+def _search(blocks: list, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = SuffixMatcher(items, min_words)
         ids, lengths, words, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            got = matcher.match(np.concatenate(ids), np.concatenate(lengths), np.concatenate(words)) if ids else None
-            if got is not None:
-                kinds = {"doc_id": pa.int64(), "item_id": pa.int64()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int32())) for c, v in got.items()], names=list(got))
+            if not ids:
+                return
+            shard = np.concatenate(ids), np.concatenate(lengths), np.concatenate(words)
+            for block in blocks:
+                got = SuffixMatcher(block.value, min_words).match(*shard)
+                if got is not None:
+                    kinds = {"doc_id": pa.int64(), "item_id": pa.int64()}
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int32())) for c, v in got.items()], names=list(got))
 
         for batch in batches:
             column = batch.column(1)
@@ -175,14 +186,13 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 10) -> DataFr
     Extra columns of either table are ignored. Repeated rows of a table give repeated rows.
     """
     coded = items.where("item_id is not null and text is not null").select("item_id", word_codes(F.col("text")).alias("w")).where(F.size("w") >= min_words)
-    blocks = -(-(coded.agg(F.sum(F.size("w"))).first()[0] or 0) // BLOCK_WORDS)
+    n = max(1, -(-(coded.agg(F.sum(F.size("w"))).first()[0] or 0) // BLOCK_WORDS))
+    blocks = []
+    for b in range(n):  # one block at a time is on the driver
+        part = [(r[0], list(r[1])) for r in coded.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id").collect()]
+        blocks.append(documents.sparkSession.sparkContext.broadcast(part))
     shards = documents.where("doc_id is not null and text is not null").select("doc_id", word_codes(F.col("text")).alias("w")).where(F.size("w") >= min_words)
-    found = None
-    for b in range(max(1, blocks)):
-        part = [(r[0], list(r[1])) for r in coded.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == b).orderBy("item_id").collect()]
-        one = shards.mapInArrow(_search(part, min_words), SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    return found
+    return shards.mapInArrow(_search(blocks, min_words), SCHEMA)
 
 
 def clean_documents(documents: DataFrame, leaked: DataFrame) -> DataFrame:
