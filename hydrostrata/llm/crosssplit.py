@@ -7,8 +7,9 @@
 2. Content strings of evaluation questions are cut into ``k + 1`` segments. Training questions emit the
    substrings that could equal a segment: at the positions that ``k`` edits allow, for every length within ``k``. Language,
    numbers and measure words are part of the join key, so a segment only meets questions that ask for them too.
-3. Candidates are verified by banded dynamic programming over words: content may differ by one slip of typing
-   a word, numbers and measure words not at all, wording only a little.
+3. Candidates are verified by banded dynamic programming over the letters of their contents, which may be ``k`` edits
+   apart. An exact check over words follows: content may differ by one slip of typing a word, numbers and measure
+   words not at all, wording only a little.
 
 Equal questions are one class before the join, however often they occur; classes are expanded to
 row pairs at the end, since the pairs are what is asked for.
@@ -41,7 +42,6 @@ EDGE = 0.34
 #: Different questions with a word from which it may be a name of its own and no slip of another, and what share of the
 #: other word's questions they must be: a repeated slip stays rare beside its name. Labelled names need neither.
 KNOWN, BESIDE = 3, 0.2
-BAND = 12
 #: The assessment categories, which no label column names.
 CATEGORIES = ("safe", "semi", "critical", "over", "exploited", "saline", "hilly")
 _SHORT_CYCLE = re.compile(r"\b(\d{2})(\d{2})\s*-\s*(\d{2})\b(?!\s*-?\d)")
@@ -94,13 +94,38 @@ def substring_keys(block: str, content: str, k: int) -> list[int]:
     return sorted(keys)
 
 
-def alignment(a: list[tuple[str, str]], b: list[tuple[str, str]], most: float, band: int = BAND) -> list[tuple[str, str]] | None:
+def within_edits(a: str, b: str, k: int) -> bool:
+    """Whether at most ``k`` letters added, lost, changed or swapped with the next lead from ``a`` to ``b``.
+
+    Dynamic programming in a band of width ``2 k + 1``.
+    """
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > k:
+        return False
+    far = k + 1
+    before, row = None, [min(j, far) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        last, low, high = row, max(1, i - k), min(len(b), i + k)
+        row = [far] * (len(b) + 1)
+        row[0] = min(i, far)
+        for j in range(low, high + 1):
+            row[j] = min(last[j - 1] + (x != b[j - 1]), last[j] + 1, row[j - 1] + 1)
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                row[j] = min(row[j], before[j - 2] + 1)
+        before = last
+    return row[len(b)] <= k
+
+
+def alignment(a: list[tuple[str, str]], b: list[tuple[str, str]], most: float) -> list[tuple[str, str]] | None:
     """Slips of the cheapest alignment of two word lists [(class, word)], or None above ``most``.
 
+    The band is as wide as ``most`` allows: every step off the diagonal costs ``EDGE`` at least.
+
     Classes: n number, m measure, w wording, c content. Only wording may be added, lost or
     replaced; content may differ by one slip.
     """
-    inf = float("inf")
+    inf, band = float("inf"), int(most / EDGE) + 1
     prev: list[tuple[float, tuple]] = [(0.0, ())]
     for y in b:
         prev.append((prev[-1][0] + EDGE if y[0] == "w" else inf, ()))
@@ -244,7 +269,8 @@ def class_pairs(classes: DataFrame, labelled: DataFrame, k: int = EDITS) -> Data
         out = []
         for x, y in zip(left, right, strict=True):
             a, b = ([(w[0], w[1:]) for w in t.split(" ")] for t in (x, y))
-            slips = alignment(a, b, max(WORDING, WORDING_SHARE * max(len(a), len(b))))
+            near = within_edits(*(" ".join(w for c, w in side if c == "c") for side in (a, b)), k)
+            slips = alignment(a, b, max(WORDING, WORDING_SHARE * max(len(a), len(b)))) if near else None
             out.append((slips is not None, slips or []))
         return pd.DataFrame(out, columns=["same", "slips"])
 

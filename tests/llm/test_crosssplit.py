@@ -74,3 +74,27 @@ def test_slip_and_alignment():
     a = [("n", "2020"), ("w", "how"), ("c", "Xpur"), ("m", "rain")]
     assert cs.alignment(a, a, 0.0) == [] and cs.alignment(a, [("w", "hi"), *a], 1.0) == []
     assert cs.alignment(a, [("n", "2021"), *a[1:]], 9.0) is None and cs.alignment(a, [*a[:2], ("c", "Ypur"), a[3]], 1.0) == [("Xpur", "Ypur")]
+
+
+def test_banded_distance_is_the_distance():
+    def distance(a, b):
+        table = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i, j] = min(table[i - 1, j - 1] + (x != y), table[i - 1, j] + 1, table[i, j - 1] + 1)
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    table[i, j] = min(table[i, j], table[i - 2, j - 2] + 1)
+        return table[len(a), len(b)]
+
+    draw = random.Random(4)
+    for _ in range(3000):
+        a = "".join(draw.choice("ab ") for _ in range(draw.randrange(9)))
+        b = "".join(draw.choice("ab ") for _ in range(draw.randrange(9)))
+        for k in (0, 1, 2, 3):
+            assert cs.within_edits(a, b, k) == (distance(a, b) <= k)
+
+
+def test_the_band_allows_what_the_cost_allows():
+    middle = [("c", "gadag"), ("n", "2024")]
+    greeting = [("w", f"word{i}") for i in range(16)]
+    assert cs.alignment(greeting + middle, middle, 16 * cs.EDGE + 0.01) == []
