@@ -1,7 +1,7 @@
 """Deeply nested JSON records as related flat tables that keep their parent-child links.
 
-1. *Schema*: one pass over all bodies infers the merged schema of the sections and the depth of
-   nesting (:func:`nesting_depth`, :func:`merged_schema`); no sampling, so an optional part seen once is known.
+1. *Schema*: one scan of all bodies infers the schemas of the sections and from them the levels to explode
+   (:func:`nesting_depth`); :func:`merged_schema` lists tables and columns. No sampling, so an optional part seen once is known.
 2. *Explode*: starting at the section, one level at a time, every array element and object member is
    exploded. Leaves pass through unchanged, so the whole chain is one narrow pass over the records
    (no join, no shuffle after the first) and its length is the inferred depth.
@@ -29,13 +29,16 @@ def _children(v: str) -> Column:
     )
 
 
-def locations(raw: DataFrame, record: str = "record_id", body: str = "body", response: str = "response") -> DataFrame:
+def locations(raw: DataFrame, record: str = "record_id", body: str = "body", response: str = "response", distinct: bool = True) -> DataFrame:
     """(record_id, loc_index, location variant): the location records of every body that parses.
 
     Null, empty and unparsable bodies and a missing or null ``response`` give no rows; a lone
-    object is place 0. Rows are shuffled once, by record, and equal (record, body) rows become one.
+    object is place 0. Rows are shuffled once, by record, and equal (record, body) rows become one,
+    unless ``distinct`` is off.
     """
-    bodies = raw.select(F.col(record).alias("record_id"), F.col(body).alias("_body")).where("_body is not null").repartition("record_id").dropDuplicates(["record_id", "_body"])
+    bodies = raw.select(F.col(record).alias("record_id"), F.col(body).alias("_body")).where("_body is not null")
+    if distinct:
+        bodies = bodies.repartition("record_id").dropDuplicates(["record_id", "_body"])
     response_ = bodies.select("record_id", F.expr(f"try_variant_get(try_parse_json(_body), '$.{response}', 'variant')").alias("_r")).where("_r is not null")
     elements = F.expr("coalesce(try_cast(_r AS ARRAY<VARIANT>), array(_r))")
     return response_.select("record_id", F.posexplode(elements).alias("loc_index", "location")).withColumn("loc_index", F.col("loc_index").cast("long"))
@@ -63,9 +66,20 @@ def _depth(text: Column) -> Column:
     return state["most"]
 
 
+def shapes(nested: DataFrame, v: str = "v") -> Column:
+    """The schema of one value: its keys and kinds, array elements merged; ``VARIANT`` where they differ."""
+    return F.expr(f"schema_of_variant({v})")
+
+
 def nesting_depth(nested: DataFrame, v: str = "v") -> int:
-    """The most levels below any section; 0 when there are only scalars or no rows."""
-    return nested.select(F.max(_depth(F.to_json(v)))).first()[0] or 0
+    """The most levels below any section, from the schemas of all values; 0 when there are only scalars or no rows.
+
+    A value whose schema hides levels (elements of one array differ) is measured itself.
+    """
+    shape = shapes(nested, v)
+    plain = F.regexp_replace(shape, "`[^`]*`", "")  # keys that need quoting may hold any sign
+    known = _depth(F.translate(F.regexp_replace(plain, r"DECIMAL\([^)]*\)", ""), "<>", "{}"))
+    return nested.select(F.max(F.when(F.contains(plain, F.lit("VARIANT")), _depth(F.to_json(v))).otherwise(known))).first()[0] or 0
 
 
 def flatten(nested: DataFrame, depth: int | None = None) -> DataFrame:
@@ -79,25 +93,23 @@ def flatten(nested: DataFrame, depth: int | None = None) -> DataFrame:
     depth = nesting_depth(nested) if depth is None else depth
     df = nested.select(
         "record_id", "loc_index", "section", F.col("section").alias("table_path"), F.col("section").alias("row_key"),
-        F.lit(None).cast("string").alias("parent_key"), F.lit(None).cast("long").alias("ordinal"), F.lit("").alias("column_path"), F.col("section").alias("leaf_path"), "v",
+        F.lit(None).cast("string").alias("parent_key"), F.lit(None).cast("long").alias("ordinal"), F.lit("").alias("column_path"), "v",
     )
     for _ in range(depth):
         df = df.select("*", F.explode_outer(_children("v")).alias("_c"))
         member, element = F.col("_c.key").isNotNull(), F.col("_c.ordinal").isNotNull()
-        dotted = lambda c: F.concat(c, F.lit("."), F.col("_c.key"))
-        placed = F.concat("leaf_path", F.lit("["), F.col("_c.ordinal"), F.lit("]"))
-        inner = F.when(F.col("column_path") == "", F.col("_c.key")).otherwise(dotted(F.col("column_path")))
-        above = F.when(F.col("column_path") == "", F.col("table_path")).otherwise(F.concat("table_path", F.lit("."), "column_path"))
+        joined = lambda a, b: F.when(b == "", a).otherwise(F.concat(a, F.lit("."), b))
+        inner = F.when(F.col("column_path") == "", F.col("_c.key")).otherwise(F.concat("column_path", F.lit("."), "_c.key"))
         df = df.select(
             "record_id", "loc_index", "section",
-            F.when(element, F.concat(above, F.lit("[]"))).otherwise(F.col("table_path")).alias("table_path"),
-            F.when(element, placed).otherwise(F.col("row_key")).alias("row_key"),
+            F.when(element, F.concat(joined(F.col("table_path"), F.col("column_path")), F.lit("[]"))).otherwise(F.col("table_path")).alias("table_path"),
+            F.when(element, F.concat(joined(F.col("row_key"), F.col("column_path")), F.lit("["), F.col("_c.ordinal"), F.lit("]"))).otherwise(F.col("row_key")).alias("row_key"),
             F.when(element, F.col("row_key")).otherwise(F.col("parent_key")).alias("parent_key"),
             F.when(element, F.col("_c.ordinal")).otherwise(F.col("ordinal")).alias("ordinal"),
             F.when(member, inner).when(element, F.lit("")).otherwise(F.col("column_path")).alias("column_path"),
-            F.when(member, dotted(F.col("leaf_path"))).when(element, placed).otherwise(F.col("leaf_path")).alias("leaf_path"),
             F.when(member | element, F.col("_c.child")).otherwise(F.col("v")).alias("v"),
         )
+    df = df.withColumn("leaf_path", F.when(F.col("column_path") == "", F.col("row_key")).otherwise(F.concat("row_key", F.lit("."), "column_path")))
     return df.select("*", F.expr("try_variant_get(v, '$', 'string')").alias("value"), _children("v").isNull().alias("_leaf")).where("_leaf and value is not null").drop("v", "_leaf")
 
 
@@ -128,4 +140,15 @@ def leaf_values(raw: DataFrame) -> DataFrame:
 
     The rows stay partitioned by record, so the final distinct needs no second shuffle.
     """
-    return flatten(sections(locations(raw))).select("record_id", "loc_index", "leaf_path").distinct()
+    return flatten(sections(locations(raw)), schema_depth(raw)).select("record_id", "loc_index", "leaf_path").distinct()
+
+
+def schema_depth(raw: DataFrame) -> int:
+    """:func:`nesting_depth` of the sections of all bodies, from a scan without a shuffle."""
+    return nesting_depth(sections(locations(raw, distinct=False)))
+
+
+def table_rows(raw: DataFrame) -> DataFrame:
+    """(table_path, record_id, loc_index, row_key, parent_key, ordinal, n_values): the rows of all child tables with their links."""
+    flat = flatten(sections(locations(raw)), schema_depth(raw))
+    return flat.groupBy("table_path", "record_id", "loc_index", "row_key", "parent_key", "ordinal").agg(F.count("*").alias("n_values"))

@@ -68,6 +68,13 @@ SELECT regexp_replace(CASE WHEN contains(leaf_path, '[') THEN regexp_extract(lea
   CASE WHEN contains(leaf_path, '[') THEN ltrim(regexp_replace(leaf_path, '^.*\\]', ''), '.') ELSE ltrim(substr(leaf_path, len(section) + 1), '.') END AS column_path,
   count(*)::BIGINT AS n_values, count(try_cast(value AS DOUBLE))::BIGINT AS n_numbers FROM leaves GROUP BY 1, 2"""
 
+#: Rows of the child tables: the path up to the last place in a list; its parent is the path up to the place before.
+P2_TABLES = f"""WITH RECURSIVE {_RECORDS}, {_LEAVES},
+keyed AS (SELECT record_id, loc_index, CASE WHEN contains(leaf_path, '[') THEN regexp_extract(leaf_path, '^(.*\\])', 1) ELSE section END AS row_key, section FROM leaves)
+SELECT regexp_replace(row_key, '\\[[0-9]+\\]', '[]', 'g') AS table_path, record_id, loc_index, row_key,
+  CASE WHEN contains(row_key, '[') THEN CASE WHEN regexp_matches(row_key, '\\].*\\]$') THEN regexp_extract(row_key, '^(.*\\])[^\\]]*\\]$', 1) ELSE section END END AS parent_key,
+  coalesce(try_cast(regexp_extract(row_key, '\\[([0-9]+)\\]$', 1) AS BIGINT), -1) AS ordinal, count(*)::BIGINT AS n_values FROM keyed GROUP BY ALL"""
+
 R14_CYCLES = r"""WITH p AS (SELECT row_number() OVER () AS r, id, regexp_extract_all(translate(question, '०१२३४५६७८९௦௧௨௩௪௫௬௭௮௯', '01234567890123456789'), '[\pL\pM_][\pL\pM\pN_.]*|\.[0-9]+|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|[^\s]') AS t FROM ingres_bench_v1),
 x AS (SELECT r, i, t[i] AS w, t[i + 1] AS a, t[i + 2] AS b, CASE WHEN i > 1 THEN t[i - 1] END AS c, CASE WHEN i > 2 THEN t[i - 2] END AS d FROM (SELECT r, t, unnest(range(1, len(t) + 1)) AS i FROM p) q),
 y AS (SELECT r, i, w::INT AS y, a, b, lower(c) AS c, lower(d) AS d, a IN ('-', '–', '/') AND regexp_matches(b, '^[0-9]+$') AS ranged,
