@@ -3,7 +3,9 @@
 1. Candidate pairs share a period and a key of the name: its sound form with one letter left out (so two
    forms one slip apart always meet), or its beginning within the same district. No pair is made from a
    period, district or name group as a whole.
-2. Every pair gets log odds from its partial, noisy attributes: name, ordinal, direction, district, state, area.
+2. Every pair has a pattern of agreement of its partial, noisy attributes: name, ordinal, direction, district, state, area.
+   How often each level occurs among matches and among other pairs is estimated from the patterns of all
+   candidates by expectation-maximisation; this gives every pair its log odds.
 3. At most one record of either side belongs to one of the other. These factors and the pairs form a graph
    with loops; sum-product messages go through aggregates joined back to the pairs until the marginals
    stand still. ``a`` is what an entity's factor tells a pair (the odds left by its other pairs), ``b`` what a
@@ -16,9 +18,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrostrata.llm.placenames import latin, slips, sound, strip_levels
@@ -28,15 +31,23 @@ from hydrostrata.session import checkpointed, spread
 CONFIDENT = 0.5
 #: Iterations at most, and the change of a marginal below which messages have converged.
 ITERATIONS, CONVERGED = 25, 1e-3
-#: Log odds of a pair before its attributes, and by agreement of each attribute.
+#: Where the estimate of the log odds starts: of a pair before its attributes, and by agreement of each attribute.
 PRIOR = -4.0
-NAME = (7.0, 5.0, 1.0, -6.0)
-ABBREVIATED = 4.0
-ORDINAL = {"same": 1.5, "both none": 0.5, "one none": -12.0, "differ": -12.0}
-DIRECTION = {"same": 1.5, "both none": 0.3, "one none": -3.0, "differ": -9.0}
-DISTRICT = {"same": 4.0, "near": 3.0, "missing": 0.0, "differ": -4.0}
-STATE = {"same": 1.0, "missing": 0.0, "differ": -4.0}
-AREA = {"same": 2.5, "missing": 0.0, "near": -2.0, "differ": -4.0}
+START: dict[str, dict[str, float]] = {
+    "name": {"0": 7.0, "1": 5.0, "2": 1.0, "3": -6.0, "cut": 4.0},
+    "ordinal": {"same": 1.5, "both none": 0.5, "one none": -12.0, "differ": -12.0},
+    "direction": {"same": 1.5, "both none": 0.3, "one none": -3.0, "differ": -9.0},
+    "district": {"same": 4.0, "near": 3.0, "missing": 0.0, "differ": -4.0},
+    "state": {"same": 1.0, "missing": 0.0, "differ": -4.0},
+    "area": {"same": 2.5, "missing": 0.0, "near": -2.0, "differ": -4.0},
+}
+#: What is given, not estimated: an ordinal or a direction is part of a unit's identity, so another one, or one too many, names another
+#: unit even where the other source lacks its partner. Without labels that absence would be taken for noise.
+GIVEN = {(k, level) for k in ("ordinal", "direction") for level in ("one none", "differ")}
+#: Rounds of the estimate at most, the change of a log odd at which it stops, and pairs each level starts with in either class.
+STEPS, STILL, SMOOTH = 6, 0.05, 0.5
+#: Pairs that stand behind ``START``.
+BEHIND = 1_000
 #: First letters by which an abbreviated name meets whole ones.
 SHORT = 5
 #: Pairs below these log odds cannot become matches and are left out of the graph.
@@ -143,24 +154,66 @@ def _place(a: str, b: str, cut: bool) -> str:
     return "near" if slips(a, b) <= 2 else "differ"
 
 
-def log_odds(x: tuple, y: tuple) -> float:
-    """Log odds of two parsed records (sound form, ordinal, direction, cut, district, cut, state, cut, area, spelling)."""
+def agreement(x: tuple, y: tuple) -> tuple[str, ...]:
+    """How two parsed records agree (sound form, ordinal, direction, cut, district, cut, state, cut, area, spelling), by attribute of ``START``."""
     if (x[3] or y[3]) and min(len(x[0]), len(y[0])) >= 3 and (x[0].startswith(y[0]) or y[0].startswith(x[0])):
-        odds = ABBREVIATED
+        name = "cut"
     else:
-        odds = NAME[min(slips(x[0], y[0]), slips(x[9], y[9]))]
-    odds += ORDINAL[_agree(x[1], y[1])] + DIRECTION[_agree(x[2], y[2])]
-    odds += DISTRICT[_place(x[4], y[4], x[5] or y[5])]
+        name = str(min(slips(x[0], y[0]), slips(x[9], y[9])))
     state = _place(x[6], y[6], x[7] or y[7])
-    odds += STATE["same" if state == "near" else state]
+    area = "missing"
     if x[8] and y[8]:
         ratio = x[8] / y[8]
-        odds += AREA["same" if 0.94 <= ratio <= 1.06 else "near" if 0.7 <= ratio <= 1.45 else "differ"]
-    return PRIOR + odds
+        area = "same" if 0.94 <= ratio <= 1.06 else "near" if 0.7 <= ratio <= 1.45 else "differ"
+    return name, _agree(x[1], y[1]), _agree(x[2], y[2]), _place(x[4], y[4], x[5] or y[5]), "same" if state == "near" else state, area
+
+
+def _score(pattern: str, weights: dict[str, dict[str, float]], prior: float) -> float:
+    return prior + sum(levels[level] for levels, level in zip(weights.values(), pattern.split("|"), strict=True))
+
+
+def estimated(counts: dict[str, tuple[int, float]]) -> tuple[dict[str, dict[str, float]], float]:
+    """(weights, prior): log odds of every level and of a pair at all, from the (pairs, expected matches) of every agreement pattern.
+
+    A weight is the log of how much oftener a level occurs among matches than among other pairs, held within
+    12 (an unseen level proves nothing beyond that). ``START`` counts like an estimate from ``BEHIND`` pairs, so few pairs do not move it.
+    """
+    weights: dict[str, dict[str, float]] = {}
+    for j, (k, levels) in enumerate(START.items()):
+        yes, no = dict.fromkeys(levels, SMOOTH), dict.fromkeys(levels, SMOOTH)
+        for pattern, (n, match) in counts.items():
+            level = pattern.split("|")[j]
+            yes[level] += match
+            no[level] += max(0.0, n - match)
+        m, u = sum(yes.values()), sum(no.values())
+        weights[k] = {level: levels[level] if (k, level) in GIVEN else float(np.clip(np.log(yes[level] / m) - np.log(no[level] / u), -12, 12)) for level in levels}
+    n, match = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    share = n / (n + BEHIND)
+    blend = lambda own, start: share * own + (1 - share) * start
+    prior = float(np.log(match + SMOOTH) - np.log(max(0.0, n - match) + SMOOTH))
+    return {k: {level: blend(w, START[k][level]) for level, w in levels.items()} for k, levels in weights.items()}, blend(prior, PRIOR)
+
+
+def learnt(best: DataFrame, rounds: int = STEPS) -> tuple[dict[str, dict[str, float]], float]:
+    """Weights and prior by expectation-maximisation over all candidate pairs (entity, year, record, pattern), without labels.
+
+    E-step: the probability of a pair beside the other pairs of its entity and of its record, of which one can hold
+    (the first messages of the graph). M-step: :func:`estimated`. It starts at ``START`` and stops when no weight moves.
+    """
+    weights, prior = START, PRIOR
+    for _ in range(rounds):
+        odds = best.withColumn("f", F.exp(_by_pattern(weights, prior)))
+        rivals = odds.join(odds.groupBy("entity", "year").agg(F.sum("f").alias("_e")), ["entity", "year"]).join(odds.groupBy("record").agg(F.sum("f").alias("_r")), "record")
+        match = F.col("f") / (1 + F.greatest(F.col("_e") + F.col("_r") - F.col("f"), F.col("f")))
+        counts = {r[0]: (r[1], r[2]) for r in rivals.groupBy("pattern").agg(F.count("*"), F.sum(match)).collect()}  # the product of the attributes' levels at most
+        before, (weights, prior) = weights, estimated(counts)
+        if max(abs(weights[k][level] - before[k][level]) for k in weights for level in weights[k]) < STILL:
+            break
+    return weights, prior
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(entity, year, record, score): log odds of the best-agreeing rows of every candidate pair."""
+    """(entity, year, record, score): estimated log odds of the best-agreeing rows of every candidate pair."""
     keys = F.pandas_udf(lambda c, w, y, d, s: pd.Series([blocking_keys(*x) for x in zip(c, w, y, d, s, strict=True)]), "array<long>")
     columns = ["core", "ordinal", "direction", "cut", "district", "district_cut", "state", "state_cut", "area", "written"]
 
@@ -171,16 +224,27 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     (a, a_rows), (b, b_rows) = side(left, "entity"), side(right, "record")
     pairs = a.join(b, "key").select("entity_key", "record_key").distinct()
 
-    @F.pandas_udf("double")
-    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
+    @F.pandas_udf("string")
+    def pattern(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
         def rows(f: pd.DataFrame) -> list[tuple]:
             f = f.astype(object).where(f.notna(), None)
             return list(zip(*(f[c] for c in columns), strict=True))
 
-        return pd.Series([log_odds(p, q) for p, q in zip(rows(x), rows(y), strict=True)])
+        return pd.Series(["|".join(agreement(p, q)) for p, q in zip(rows(x), rows(y), strict=True)], dtype="object")
+
+    agreed = spread(pairs.join(a_rows, "entity_key").join(b_rows, "record_key"), "entity_key", "record_key").withColumn("pattern", pattern("entity_row", "record_row"))
+    best = checkpointed(agreed.groupBy("entity", "year", "record", "pattern").agg(F.lit(1)).groupBy("entity", "year", "record").agg(F.max_by("pattern", F.struct(_by_pattern(START, PRIOR), "pattern")).alias("pattern")))
+    weights, prior = learnt(best)
+    return best.select("entity", "year", "record", _by_pattern(weights, prior).alias("score")).where(F.col("score") >= FLOOR)
+
 
-    scored = spread(pairs.join(a_rows, "entity_key").join(b_rows, "record_key"), "entity_key", "record_key").withColumn("score", score("entity_row", "record_row"))
-    return scored.where(F.col("score") >= FLOOR).groupBy("entity", "year", "record").agg(F.max("score").alias("score"))
+def _by_pattern(weights: dict[str, dict[str, float]], prior: float) -> Column:
+    """The log odds of a pair with the agreement ``pattern``."""
+    levels = F.split("pattern", r"\|")
+    out = F.lit(prior)
+    for j, table in enumerate(weights.values()):
+        out = out + F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[levels[j]]
+    return out
 
 
 def propagate(pairs: DataFrame, iterations: int = ITERATIONS, tolerance: float = CONVERGED) -> DataFrame:
