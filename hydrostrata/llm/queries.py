@@ -84,4 +84,14 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_matches, p6_found, p6_mentions, p7_found, p7_counts, p8_packing, p8_fill, p9_found, p9_matches, p9_clean_documents, p10_found, p10_report)}
-ORACLES: dict[str, str] = {}
+
+#: Documents and items that share ten words in a row, by an index of all ten-word passages.
+_SHARED = r"""WITH words AS (SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pM\pN\s\pZ]', '', 'g'), '[\s\pZ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+  UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pM\pN\s\pZ]', '', 'g'), '[\s\pZ]+'), lambda x: x <> '') FROM heldout_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+passages AS (SELECT DISTINCT side, id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 8)) AS k FROM words WHERE len(w) >= 10) u),
+shared AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM passages d JOIN passages i USING (g) WHERE d.side = 'd' AND i.side = 'i')
+"""
+ORACLES: dict[str, str] = {
+    "p9_found": f"{_SHARED} SELECT doc_id, item_id FROM shared",
+    "p9_clean_documents": f"{_SHARED} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM shared)",
+}
