@@ -352,7 +352,7 @@ def r19_vocabulary_gain(spark, folder):
     return lexical.vocabulary_gain(pieces, "word", "k", 50)
 
 
-@query()
+@query(oracles.E15_NUMBERS)
 def e15_stated_numbers(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.size(grounding.stated_numbers(F.col("text"))).alias("n_numbers"))
 

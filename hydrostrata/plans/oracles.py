@@ -86,3 +86,9 @@ z AS (SELECT r, i, CASE WHEN coalesce(ranged, false) THEN CASE WHEN len(b) IN (2
 l AS (SELECT r, min(i) AS i, y FROM z WHERE y IS NOT NULL GROUP BY r, y),
 s AS (SELECT r, list(y::VARCHAR || '-' || (y + 1)::VARCHAR ORDER BY i) AS labels FROM l GROUP BY r)
 SELECT id, coalesce(labels, []::VARCHAR[]) AS labels FROM p LEFT JOIN s USING (r)"""
+
+E15_NUMBERS = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '०१२३४५६७८९௦௧௨௩௪௫௬௭௮௯', '01234567890123456789'), '[\pL\pM_][\pL\pM\pN_.]*|\.[0-9]+|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|[^\s]') AS t FROM documents WHERE text IS NOT NULL),
+x AS (SELECT r, t[i] AS w, CASE WHEN i > 1 THEN t[i - 1] END AS c, CASE WHEN i > 2 THEN t[i - 2] END AS d FROM (SELECT r, t, unnest(range(1, len(t) + 1)) AS i FROM t) q),
+n AS (SELECT r, count(*) AS n FROM x WHERE regexp_matches(w, '^[0-9]') AND NOT regexp_matches(w, '^(19|20)[0-9][0-9]$')
+  AND NOT coalesce(c IN ('-', '–', '/') AND regexp_matches(d, '^(19|20)[0-9][0-9]$') AND regexp_matches(w, '^[0-9][0-9]$'), false) GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::INT AS n_numbers FROM t LEFT JOIN n USING (r)"""
