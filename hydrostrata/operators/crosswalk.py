@@ -8,14 +8,16 @@ The loop runs over cycles (a handful), with a checkpoint each, since a cycle dep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrostrata.functions.text import ascii_fold, is_qualified, matching_ratio, ordinals
+from hydrostrata.functions.text import ascii_fold, bound, is_qualified, matching_ratio, ordinals
 from hydrostrata.session import checkpointed
 
 #: Spelling similarity from which two names may be one.
 SIMILAR = 0.75
+#: The letters from rare to frequent; the order only decides how many pairs are looked at.
+RARE_FIRST = "qxzjwvfykbpcdglhmutsroniea"
 #: Unit types that are one type under two labels.
 SAME_TYPES = {"MANDAL": "BLOCK"}
 
@@ -30,17 +32,25 @@ def _unique_pairs(rest: DataFrame, pool: DataFrame, keys: list[str], method: str
 def mutual_best(rest: DataFrame, pool: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Pairs that are each other's only best match within (scope, parent), at ``threshold`` or more.
 
-    A pair only meets within its block and with a name of like length and a common bigram:
-    at ``threshold`` two names share at least one.
+    A pair only meets within its block, when it can reach the threshold: the ratio is at most twice the letters that two
+    names have in common over their lengths, so the rarest letters of one must meet the rarest of the other
+    (as many of each as could miss), the lengths must be alike, and the common letters are counted before
+    anything is compared. No pair is lost.
     """
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
-        squeezed = F.replace("name_key", F.lit(" "), F.lit(""))
-        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(squeezed) - 1, F.lit(1))), lambda i: squeezed.substr(i, F.lit(2)))
-        return df.select("scope", "parent", *keep, F.explode(F.array_distinct(pieces)).alias("gram"))
-
-    left = grams(rest, "id", F.col("name_key").alias("a"))
-    right = grams(pool, "canonical_id", F.col("name_key").alias("b"))
-    pairs = left.join(right, ["scope", "parent", "gram"]).drop("gram").distinct()
+    least = threshold / (2 - threshold)
+
+    def letters(df: DataFrame, tag: str, *keep: Column | str) -> DataFrame:
+        squeezed = F.sort_array(F.filter(F.split(F.translate(F.replace("name_key", F.lit(" "), F.lit("")), RARE_FIRST, "".join(sorted(RARE_FIRST))), ""), lambda c: c != ""))
+        numbered = bound(squeezed, lambda t: F.transform(t, lambda c, i: F.concat(c, (i + 1 - F.array_position(t, c)).cast("string"))))
+        own = df.select("scope", "parent", *keep, numbered.alias(f"_{tag}"))
+        most = F.size(f"_{tag}") - F.ceil(F.size(f"_{tag}") * F.lit(least - 1e-9)).cast("int") + 1
+        return own.select("*", F.explode(F.slice(f"_{tag}", F.lit(1), F.greatest(most, F.lit(0)))).alias("letter"))
+
+    left = letters(rest, "l", "id", F.col("name_key").alias("a"))
+    right = letters(pool, "r", "canonical_id", F.col("name_key").alias("b"))
+    common, both = F.size(F.array_intersect("_l", "_r")), F.size("_l") + F.size("_r")
+    alike = F.least(F.size("_l"), F.size("_r")) >= F.greatest(F.size("_l"), F.size("_r")) * (least - 1e-9)
+    pairs = left.join(right, ["scope", "parent", "letter"]).where(alike & (2 * common >= both * (threshold - 1e-9))).drop("letter", "_l", "_r").distinct()
     barred = is_qualified(F.col("a"), F.col("b")) | (ordinals(F.col("a")) != ordinals(F.col("b")))
     scored = pairs.withColumn("similarity", F.when(barred, F.lit(0.0)).otherwise(matching_ratio("a", "b"))).where(F.col("similarity") >= threshold)
     here, there = Window.partitionBy("id"), Window.partitionBy("canonical_id")

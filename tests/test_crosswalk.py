@@ -1,4 +1,6 @@
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 
@@ -50,3 +52,22 @@ def test_star_from_nested_records(spark):
     bad = facts.replace("safe", "odd", subset=["value_str"])
     with pytest.raises(Exception, match="unmapped category"):
         etl.build_star(located, bad, {"total": "rechargeData.total.total"})["unit_assessments"].collect()
+
+
+def test_no_similar_pair_is_lost(spark):
+    draw = random.Random(6)
+    names = sorted({"".join(draw.choice("abkotrmuxy ") for _ in range(draw.randrange(2, 8))).strip() or "a" for _ in range(120)} | {"abc", "axbyc", "ara", "amrua", "kot", "kaont", "ab", "axb"})
+    left, right = names[::2], names[1::2]
+    rest = spark.createDataFrame([("s", "p", f"l{i}", n) for i, n in enumerate(left)], "scope string, parent string, id string, name_key string")
+    pool = spark.createDataFrame([("s", "p", f"r{i}", n) for i, n in enumerate(right)], "scope string, parent string, canonical_id string, name_key string")
+
+    def ratio(a, b):
+        x, y = a.replace(" ", ""), b.replace(" ", "")
+        return 0.0 if (x in y or y in x) and abs(len(x) - len(y)) >= 3 else SequenceMatcher(None, x, y).ratio()
+
+    table = {(i, j): ratio(a, b) for i, a in enumerate(left) for j, b in enumerate(right)}
+    best = lambda side, k: sorted((v for p, v in table.items() if p[side] == k and v >= crosswalk.SIMILAR), reverse=True)[:2]
+    only = lambda top, v: bool(top) and v == top[0] and (len(top) == 1 or top[1] < top[0])
+    wanted = {(f"l{i}", f"r{j}") for (i, j), v in table.items() if v >= crosswalk.SIMILAR and only(best(0, i), v) and only(best(1, j), v)}
+    got = {(r.id, r.canonical_id) for r in crosswalk.mutual_best(rest, pool).collect()}
+    assert got == wanted and len(wanted) > 5
