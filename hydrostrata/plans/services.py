@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import grounding, text
 from hydrostrata.operators import evaluate, lexical, windows
-from hydrostrata.plans import gate, snap
+from hydrostrata.plans import gate, slots, snap, templates
 from hydrostrata.sources.tables import table
 
 #: How much a planted wrong number is off.
@@ -130,6 +130,11 @@ def r16_code_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("language").agg(F.round(F.avg(lexical.code_mixing_index(lexical.script_tags(F.col("question")))), 4).alias("cmi"))
 
 
+def r08_filled_template(spark: SparkSession, folder: str) -> DataFrame:
+    """A question's slots (category, place) put into the parameters of its template."""
+    return slots.fill(spark, folder, "q08_count_category_state", "How many semi-critical units does America have?", {}, {"state": ["AMERICA"]})
+
+
 _HINDI = ", ".join(f"'{w}'" for w in lexical.HINDI_WORDS)
 _FOLDED = "lower(db_name)"
 _FOLDED = f"regexp_replace({_FOLDED}, '[^a-z0-9 ]', ' ', 'g')"
@@ -140,11 +145,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         e15_grounded_answers, e16_answer_in_words, g1_snapped_and_gated, g2_capped_rows, g3_repaired, e12_execution_match, t9_cap_and_flag,
-        f05_not_in_list, f20_simple_fold, e11_question_checks, e11_names_in_questions, r16_code_mixing,
+        f05_not_in_list, f20_simple_fold, e11_question_checks, e11_names_in_questions, r16_code_mixing, r08_filled_template,
     )
 }
 ORACLES = {
     "e15_grounded_answers": f"WITH c AS (SELECT c_nationkey::BIGINT AS key, count(*) AS n FROM customer GROUP BY 1) SELECT key, 3::INT AS n_numbers, CASE WHEN key % 3 = 0 THEN [(floor(n * {WRONG}) + 3)::BIGINT::VARCHAR] ELSE []::VARCHAR[] END AS unsupported, key % 3 <> 0 AS grounded FROM c",
+    "r08_filled_template": templates._oracle(templates.TEMPLATES["q08_count_category_state"], category="Semi-Critical", state="AMERICA"),
     "e16_answer_in_words": "SELECT string_agg('region: ' || r_regionkey || ', name: ' || r_name, chr(10) ORDER BY r_regionkey) AS answer FROM region",
     "g1_snapped_and_gated": "SELECT n_name AS name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey IN (3, 7) OR r_regionkey = 2 GROUP BY 1",
     "g2_capped_rows": "SELECT 'capped' AS name, least(100, (SELECT count(*) FROM orders))::BIGINT AS n_rows, (SELECT count(*) > 100 FROM orders) AS truncated, false AS failed UNION ALL SELECT 'whole', 1, false, false UNION ALL SELECT 'wrong', 0, false, true",

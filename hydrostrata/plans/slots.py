@@ -43,8 +43,9 @@ def read_slots(question: str, metrics: dict[str, str], cycles: list[str] = ()) -
     """Slots of one question; ``metrics`` is phrase -> column, ``cycles`` the labels already found in it."""
     text = re.sub(r"[-_]", " ", question.translate(_TO_ASCII).lower())
     bare = re.sub(r"\b(?:19|20)\d\d(?:\s+(?:(?:19|20)\d\d|\d\d))?\b", " ", text)
-    numbers = [float(n.replace(",", "")) for n in re.findall(r"(?<![\w.])\d[\d,]*(?:\.\d+)?", bare)]
-    numbers += [float(NUMBER_WORDS[w]) for w in re.findall(r"[a-z]+", bare) if w in NUMBER_WORDS and not numbers]
+    # digits and number words, in text order
+    found = re.findall(r"(?<![\w.])\d[\d,]*(?:\.\d+)?|[^\W\d_]+", bare)
+    numbers = [float(NUMBER_WORDS[w]) if w in NUMBER_WORDS else float(w.replace(",", "")) for w in found if w in NUMBER_WORDS or w[0].isdigit()]
     metric = _longest_first(text, metrics)
     return Slots(list(cycles), _longest_first(text, CATEGORY_WORDS), metric[0] if metric else None, numbers)
 

@@ -105,9 +105,9 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: run(spark, folder, name)
 
 
-def _oracle(text: str) -> str:
+def _oracle(text: str, **changed: object) -> str:
     """The template with its values written in, over the model in SQL."""
-    values = _bound(text)
+    values = _bound(text) | changed
     text = re.sub(r"(?<!:):(\w+)", lambda m: str(values[m[1]]) if not isinstance(values[m[1]], str) else "'" + values[m[1]].replace("'", "''") + "'", text)
     if text.startswith("WITH RECURSIVE"):
         return text

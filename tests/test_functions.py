@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from hydrostrata.functions import grounding, text
 from hydrostrata.operators import evaluate, lexical, windows
-from hydrostrata.plans import snap
+from hydrostrata.plans import slots, snap
 
 
 def one(spark, column, *values):
@@ -109,3 +109,18 @@ def test_greedy_spans_and_words(spark):
     noisy = one(spark, lexical.mistyped("c0", F.lit(5)), "Which units rose")
     assert noisy != "Which units rose" and len(noisy.split()) == 3
     assert one(spark, lexical.perturbed(F.col("c0"), F.lit(1)), "it is 12.5 m") != "it is 12.5 m"
+
+
+@pytest.mark.parametrize("question, numbers, categories, metric", [
+    ("Top five blocks above 70% that are over-exploited in 2024-25", [5.0, 70.0], ["Over-Exploited"], None),
+    ("units between 1,250.5 and २ with semi critical stage", [1250.5, 2.0], ["Semi-Critical"], "stage_pct"),
+    ("safe or critical?", [], ["Safe", "Critical"], None), ("", [], [], None),
+])
+def test_slots(question, numbers, categories, metric):
+    read = slots.read_slots(question, {"stage": "stage_pct"})
+    assert (read.numbers, read.categories, read.metric) == (numbers, categories, metric)
+
+
+def test_parameters_of_slots():
+    given = slots.parameters(slots.Slots(["2024-2025", "2021-2022"], ["Safe", "Critical"], None, [70.0, 5.0]), {"state": ["A", "B"], "unit": ["U"]})
+    assert given == {"year": "2024-2025", "first": "2021-2022", "last": "2024-2025", "category": "Critical", "other_category": "Safe", "limit_stage": 70.0, "low": 5.0, "high": 70.0, "state": "A", "other_state": "B", "unit": "U"}
