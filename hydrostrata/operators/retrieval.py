@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydrostrata.session import checkpointed, spread
+
 K1, B = 1.2, 0.75
 #: Different query terms up to which a document's words are compared with them in the row; beyond, by a join with the same result.
 MOST_TERMS = 1_000
+#: Different texts a task searches, and searches for, at a time; postings read before the first, second, ... look at what is still possible.
+SEARCHED, ASKED = 20_000, 10_000
+LOOKS = (3_000, 12_000, 48_000)
+#: Scores closer than this are equal, and how many texts are compared in full after a look.
+EQUAL, FULL = 1e-9, 1_000
 
 
 def tokens(text: Column) -> Column:
@@ -37,12 +48,20 @@ def bm25(documents: DataFrame, queries: DataFrame, doc_id: str, text: str, query
     return terms.join(asked, "term").join(df, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def masked(text: Column) -> Column:
+    """Lower case, digits masked, single blanks: what the character n-grams of a text are made of."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\d", "0"), r"\s+", " "))
+
+
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams within blank-padded words, digits masked."""
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\d", "0"), r"\s+", " ")), " ")
+    words = F.split(masked(text), " ")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    each = [F.flatten(F.transform(padded, lambda w, n=n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: w.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")))) for n in range(low, high + 1)]
-    return F.concat(*each)
+
+    def grams(n: int) -> Column:  # n is bound here: as a second argument of the inner functions it would be the index
+        return F.flatten(F.transform(padded, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: w.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
+
+    return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
 def tfidf(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,6 +79,126 @@ def nearest_text(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.groupBy("query_key").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("key"))).alias("b")).select("query_key", "b.*")
 
 
+class _Grams:
+    """Vectors of masked texts as in :func:`tfidf`, over a vocabulary of (gram, documents that hold it); the rarest gram has the id 0."""
+
+    def __init__(self, counts: list[tuple[str, int]], n: int) -> None:
+        order = sorted(counts, key=lambda x: (x[1], x[0]))
+        self.ids = {gram: i for i, (gram, _) in enumerate(order)}
+        self.idf = np.log((1 + n) / (1 + np.array([c for _, c in order], dtype=float))) + 1
+        self.words: dict[str, np.ndarray] = {}
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for word in text.split(" "):
+            if (known := self.words.get(word)) is None:
+                known = self.words[word] = np.array([self.ids[g] for g in word_grams(word)], dtype=np.int32)
+            parts.append(known)
+        ids, c = np.unique(np.concatenate(parts), return_counts=True)
+        w = (1 + np.log(c)) * self.idf[ids]
+        return ids, w / np.sqrt((w * w).sum())
+
+
+def word_grams(word: str, low: int = 2, high: int = 4) -> list[str]:
+    """Character n-grams of a blank-padded word."""
+    w = f" {word} "
+    return [w[i : i + n] for n in range(low, high + 1) for i in range(len(w) - n + 1)]
+
+
+class _Nearest:
+    """Texts of which the nearest one to a vector is found, without reading the postings of grams that cannot change which one it is."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_grams: int) -> None:
+        self.starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in vectors])])
+        self.ids, self.weights = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        order = np.argsort(self.ids, kind="stable")
+        self.texts = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(self.starts))[order]
+        self.posted = self.weights[order]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=n_grams))])
+        self.query = np.zeros(n_grams)
+
+    def _full(self, which: np.ndarray) -> np.ndarray:
+        lengths = self.starts[which + 1] - self.starts[which]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(ends[-1])
+        return np.add.reduceat(self.query[self.ids[at]] * self.weights[at], ends - lengths)
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that may be the nearest, and their scores: all whose score is the highest are among them."""
+        self.query[ids] = weights
+        lengths = self.at[ids + 1] - self.at[ids]
+        postings = np.cumsum(lengths)
+        # by Cauchy and Schwarz, the grams not read yet can give a text no more than their length as a vector
+        rest = np.sqrt(np.maximum(0.0, np.concatenate([np.cumsum((weights * weights)[::-1])[::-1], [0.0]])))
+        scores, best, read = np.zeros(len(self.starts) - 1), 0.0, 0
+        for look in (*LOOKS, postings[-1]):
+            to = max(read, int(np.searchsorted(postings, look, "right")))
+            if to > read:
+                part = [slice(self.at[i], self.at[i + 1]) for i in ids[read:to]]
+                scores += np.bincount(np.concatenate([self.texts[p] for p in part]), np.concatenate([self.posted[p] for p in part]) * np.repeat(weights[read:to], lengths[read:to]), len(scores))
+                read = to
+            top = np.argpartition(scores, -8)[-8:] if len(scores) > 8 else np.arange(len(scores))
+            best = max(best, self._full(top).max())
+            if rest[read] < best - EQUAL or read == len(ids):
+                possible = np.flatnonzero(scores >= best - rest[read] - EQUAL)
+                if len(possible) <= FULL or read == len(ids):
+                    break
+        found = self._full(possible)
+        self.query[ids] = 0.0
+        return possible, found
+
+
+def nearest_texts(texts: DataFrame, key: str, text: str, query: Column, element: Column) -> DataFrame:
+    """(query_key, key, score): for each row of ``query`` the row of ``element`` with the highest cosine of :func:`tfidf` vectors of all rows.
+
+    Of equal scores (to 12 digits) the highest key counts; rows that share no gram with any element have none. Equal texts are searched once.
+    Blocks of different texts meet blocks of different texts; within a block the search is exact but skips the postings that cannot matter.
+    """
+    spark = texts.sparkSession
+    rows = texts.select(F.col(key).alias("key"), masked(F.col(text)).alias("t"), F.coalesce(query, F.lit(False)).alias("q"), F.coalesce(element, F.lit(False)).alias("e"))
+    every = checkpointed(rows.where("t is not null").groupBy("t").agg(F.count("*").alias("n"), F.max(F.when(F.col("e"), F.col("key"))).alias("key"), F.max("q").alias("q")))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, int] = {}
+        for b in batches:
+            for t, n in zip(b["t"], b["n"], strict=True):
+                for g in {g for w in set(t.split(" ")) for g in word_grams(w)}:
+                    total[g] = total.get(g, 0) + n
+        if total:
+            yield pd.DataFrame({"gram": list(total), "n": list(total.values())})
+
+    grams = [(r[0], r[1]) for r in spread(every.select("t", "n"), "t").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()]  # as many as letters can form
+    n, (n_elements, n_queries) = texts.count(), every.agg(F.count("key"), F.count_if("q")).first()
+    shared = spark.sparkContext.broadcast((grams, n))
+    blocks, askers = -(-n_elements // SEARCHED), -(-n_queries // ASKED)
+    if not blocks or not askers:
+        return rows.where("false").select(F.col("key").alias("query_key"), "key", F.lit(0.0).alias("score"))
+    kind = dict(texts.dtypes)[key]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = pd.concat([pd.DataFrame(columns=["t", "key"]), *batches], ignore_index=True)
+        elements, asked = b[b["key"].notna()].sort_values("key"), b.loc[b["key"].isna(), "t"]
+        out = []
+        if len(elements) and len(asked):
+            made = _Grams(*shared.value)
+            index = _Nearest([made.vector(t) for t in elements["t"]], len(made.idf))
+            for t in asked:
+                possible, scores = index.nearest(*made.vector(t))
+                scores = np.round(scores, 12)
+                if (most := scores.max()) > 0:
+                    out.append((t, elements["key"].iat[possible[scores == most].max()], most))  # keys are in order
+        if out:
+            yield pd.DataFrame(out, columns=["t", "key", "score"])
+
+    hashed = lambda n: F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")
+    to = lambda own, others, at: F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda i: at(own, i))).alias("at")
+    held = every.where("key is not null").select("t", "key", to(hashed(blocks), askers, lambda own, i: own * askers + i))
+    asked = every.where("q").select("t", F.lit(None).cast(kind).alias("key"), to(hashed(askers), blocks, lambda own, i: i * askers + own))
+    found = held.unionByName(asked).repartitionById(blocks * askers, "at").select("t", "key").mapInPandas(search, f"t string, key {kind}, score double")
+    best = found.groupBy("t").agg(F.max_by(F.struct("key", "score"), F.struct("score", "key")).alias("b"))
+    return rows.where("q").select(F.col("key").alias("query_key"), "t").join(best, "t").select("query_key", "b.*")
+
+
 def unit(vector: Column) -> Column:
     """A vector of doubles with length one."""
     wide = F.transform(vector, lambda x: x.cast("double"))

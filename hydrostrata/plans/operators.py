@@ -309,11 +309,8 @@ def r3_rank_metrics(spark, folder):
 @query()
 def r5_nearest_question(spark, folder):
     rows = table(spark, folder, "ingres_bench_v1").select("id", "split", "question").dropDuplicates(["id"])
-    vectors = retrieval.tfidf(rows, "id", "question")
-    hard = vectors.join(rows.where("split in ('dev', 'test', 'hard_test')").select(F.col("id").alias("key")), "key", "left_semi")
-    train = vectors.join(rows.where("split = 'train'").select(F.col("id").alias("key")), "key", "left_semi")
-    scored = hard.select(F.col("key").alias("query_key"), "gram", F.col("weight").alias("q")).join(train, "gram").groupBy("query_key", "key").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
-    return scored.groupBy("query_key").agg(F.max_by("key", F.struct("score", "key")).alias("key"))
+    found = retrieval.nearest_texts(rows, "id", "question", F.col("split").isin("dev", "test", "hard_test"), F.col("split") == "train")
+    return found.select("query_key", "key")
 
 
 @query(oracles.R14_CYCLES)
