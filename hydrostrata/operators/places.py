@@ -6,6 +6,10 @@ character n-grams, never by comparing all with all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +27,8 @@ FEATURES = ("gram_score", "ratio", "skeleton_ratio", "exact", "prefix", "length_
 CONFIDENT = 0.9
 #: A stopword stands in so many questions, and no place in this share of them.
 STOP_ROWS, STOP_SHARE = 5, 0.8
+#: Aliases and mentioned forms that a task compares.
+ALIASES, FORMS = 20_000, 2_000
 
 
 def alias_table(gazetteer: DataFrame) -> DataFrame:
@@ -33,48 +39,132 @@ def alias_table(gazetteer: DataFrame) -> DataFrame:
     return folded.where("form <> ''").withColumn("plain", devoiced(F.col("form"))).drop("alias").distinct()
 
 
-def _grams(form: Column) -> Column:
-    padded = F.concat(F.lit(" "), form, F.lit(" "))
-    each = [F.transform(F.filter(F.sequence(F.lit(1), F.length(padded)), lambda i, n=n: i + n - 1 <= F.length(padded)), lambda i, n=n: padded.substr(i, F.lit(n))) for n in (2, 3, 4)]
-    return F.array_distinct(F.concat(*each))
+def _grams(form: str) -> set[str]:
+    """Character n-grams of a blank-padded form."""
+    padded = f" {form} "
+    return {padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1)}
+
+
+class _Space:
+    """Unit vectors of forms by the inverse document frequencies of their grams, and the cosines of a form with all of them."""
+
+    def __init__(self, forms: list[str], idf: dict[str, float]) -> None:
+        self.idf, self.n, own = idf, len(forms), [[g for g in _grams(f) if g in idf] for f in forms]
+        ids = {g: i for i, g in enumerate(idf)}
+        at = np.repeat(np.arange(self.n), [len(g) for g in own])
+        gram = np.array([ids[g] for x in own for g in x], dtype=np.int64)
+        weight = np.array([idf[g] for x in own for g in x])
+        weight /= np.sqrt(np.bincount(at, weight * weight, self.n))[at]
+        order = np.argsort(gram, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(gram, minlength=len(ids)))])
+        self.posted = {g: (at[order[starts[i] : starts[i + 1]]], weight[order[starts[i] : starts[i + 1]]]) for g, i in ids.items() if starts[i] < starts[i + 1]}
+
+    def cosines(self, form: str) -> np.ndarray:
+        grams = [g for g in _grams(form) if g in self.idf]
+        length = np.sqrt(sum(self.idf[g] ** 2 for g in grams))
+        met = sorted(g for g in grams if g in self.posted)
+        if not met:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.posted[g][0] for g in met]), np.concatenate([self.posted[g][1] * (self.idf[g] / length) for g in met]), self.n)
+
+
+def _idf(aliases: DataFrame, space: str, total: int) -> dict[str, float]:
+    """Inverse document frequency of every gram of the aliases: as many as letters can form."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, int] = {}
+        for b in batches:
+            for form in b["form"]:
+                for g in _grams(form):
+                    counts[g] = counts.get(g, 0) + 1
+        if counts:
+            yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
+
+    rows = aliases.select(F.col(space).alias("form")).mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()
+    return {g: float(np.log((1 + total) / (1 + n)) + 1) for g, n in sorted(tuple(r) for r in rows)}
+
+
+def _best(forms: DataFrame, aliases: DataFrame, n: int) -> DataFrame:
+    """(form, entity_id, alias_form, gram_score) of :func:`candidates`, for forms (form, plain)."""
+    spark = aliases.sparkSession
+    names = checkpointed(aliases.select("entity_id", "form", "plain").distinct())
+    asked = checkpointed(forms)
+    total, n_forms = names.count(), asked.count()
+    shared = spark.sparkContext.broadcast([_idf(names, space, total) for space in ("form", "plain")])
+    blocks, askers = max(1, -(-total // ALIASES)), max(1, -(-n_forms // FORMS))
+    kind = dict(aliases.dtypes)["entity_id"]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        b = pd.concat(parts, ignore_index=True)
+        held, told = b[b["entity_id"].notna()].sort_values(["entity_id", "form"]), b[b["entity_id"].isna()]
+        if held.empty or told.empty:
+            return
+        entities, alias, plain = held["entity_id"].to_numpy(), held["form"].tolist(), held["plain"].tolist()
+        firsts = np.flatnonzero(np.concatenate([[True], entities[1:] != entities[:-1]]))
+        ends = np.append(firsts[1:], len(entities))
+        owner = np.repeat(np.arange(len(firsts)), ends - firsts)
+        spaces = [_Space(x, idf) for x, idf in zip((alias, plain), shared.value, strict=True)]
+        spoken: dict[str, list[int]] = {}
+        for i, p in enumerate(plain):
+            spoken.setdefault(p, []).append(i)
+        out: list[tuple] = []
+        for form, sound in zip(told["form"], told["plain"], strict=True):
+            score = np.round(np.maximum(spaces[0].cosines(form), spaces[1].cosines(sound)), 12)
+            most = np.maximum.reduceat(score, firsts)
+            least = np.partition(most, -n)[-n] if len(most) > n else 0.0
+            top = np.flatnonzero((most >= least) & (most > 0))
+            top = top[np.argsort(-most[top], kind="stable")][:n]  # entities are in order
+            rows = {e: (ends[e] - 1 - int(np.argmax(score[firsts[e] : ends[e]][::-1])), 0) for e in top.tolist()}
+            for i in spoken.get(sound, []):
+                e, level = int(owner[i]), 2 if alias[i] == form else 1
+                if e not in rows or (level, alias[i]) >= (rows[e][1], alias[rows[e][0]] if rows[e][1] else ""):
+                    rows[e] = (i, level)
+            out += [(form, entities[firsts[e]], alias[i], float(most[e]), level) for e, (i, level) in rows.items()]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["form", "entity_id", "alias_form", "gram_score", "equal"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["form", "entity_id", "alias_form", "gram_score", "equal"])
+
+    hashed = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = names.select("entity_id", "form", "plain", F.explode(F.transform(F.sequence(F.lit(0), F.lit(askers - 1)), lambda i: hashed("entity_id", blocks) * askers + i)).alias("at"))
+    right = asked.select(F.lit(None).cast(kind).alias("entity_id"), "form", "plain", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i * askers + hashed("form", askers))).alias("at"))
+    found = left.unionByName(right).repartitionById(blocks * askers, "at").select("entity_id", "form", "plain").mapInPandas(search, f"form string, entity_id {kind}, alias_form string, gram_score double, equal int")
+    if blocks > 1:  # the best of the blocks' best
+        rank = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("gram_score"), "entity_id"))
+        found = found.withColumn("_rn", rank).where((F.col("_rn") <= n) | (F.col("equal") > 0)).drop("_rn")
+    return found.select("form", "entity_id", "alias_form", F.when(F.col("equal") > 0, 1.0).otherwise(F.col("gram_score")).alias("gram_score"))
 
 
 def candidates(mentions: DataFrame, aliases: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """(mention_id, form, entity columns, alias_form, gram_score): the best ``n`` entities of each mention and all of an equal form.
 
     Weights are inverse document frequencies over the aliases; both the voiced and the voiceless
-    form are compared and the better counts. Mentions are (mention_id, form), folded.
+    form are compared and the better counts. Mentions are (mention_id, form), folded; each form is compared once.
+    What a form and an alias alone decide of :func:`features` comes along.
     """
-    total = aliases.count()
-    spaces = []
-    for space, on in (("form", F.col("form")), ("plain", devoiced(F.col("form")))):
-        index = aliases.select("entity_id", F.col("form").alias("alias_form"), F.explode(_grams(F.col(space))).alias("gram"))
-        idf = index.groupBy("gram").agg((F.log((1 + F.lit(total)) / (1 + F.count("*"))) + 1).alias("w"))
-        weighted = index.join(idf, "gram")
-        norms = weighted.groupBy("entity_id", "alias_form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("alias_norm"))
-        asked = mentions.select("mention_id", F.explode(_grams(on)).alias("gram")).join(idf, "gram")
-        own = asked.groupBy("mention_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
-        dots = asked.join(weighted.select("gram", "entity_id", "alias_form"), "gram").groupBy("mention_id", "entity_id", "alias_form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-        spaces.append(dots.join(norms, ["entity_id", "alias_form"]).join(own, "mention_id").select("mention_id", "entity_id", "alias_form", (F.col("dot") / (F.col("alias_norm") * F.col("own_norm"))).alias("gram_score")))
-    scored = spaces[0].unionByName(spaces[1]).groupBy("mention_id", "entity_id").agg(F.max_by("alias_form", F.struct("gram_score", "alias_form")).alias("alias_form"), F.max("gram_score").alias("gram_score"))
-    top = top_per_key(scored, ["mention_id"], n, F.desc("gram_score"), "entity_id").withColumn("equal", F.lit(0))
-    names = aliases.select("entity_id", F.col("form").alias("alias_form"), "plain")
-    spoken = mentions.select("mention_id", "form", devoiced(F.col("form")).alias("plain"))
-    equal = spoken.join(names, "plain").select("mention_id", "entity_id", "alias_form", F.lit(1.0).alias("gram_score"), F.when(F.col("form") == F.col("alias_form"), 2).otherwise(1).alias("equal"))
-    best = top.unionByName(equal).groupBy("mention_id", "entity_id").agg(F.max_by("alias_form", F.struct("equal", "gram_score", "alias_form")).alias("alias_form"), F.max("gram_score").alias("gram_score"))
+    best = _best(mentions.select("form").distinct().withColumn("plain", devoiced(F.col("form"))), aliases, n)
+    best = best.select("*", *_alike(), F.count("*").over(Window.partitionBy("form", "alias_form")).alias("same"))
     entities = aliases.select("entity_id", "level", "db_name", "state", "district").dropDuplicates(["entity_id"])
-    return best.join(mentions, "mention_id").join(entities, "entity_id")
+    return mentions.join(best, "form").join(entities, "entity_id")
+
+
+def _alike() -> list[Column]:
+    return [matching_ratio("form", "alias_form").alias("ratio"), matching_ratio(consonants(F.col("form")), consonants(F.col("alias_form"))).alias("skeleton_ratio")]
 
 
 def features(found: DataFrame) -> DataFrame:
     """``found`` with the ranking features; context columns ``states`` and ``districts`` (arrays) may be null."""
     states, districts = (F.coalesce(c, F.array().cast("array<string>")) for c in ("states", "districts"))
-    same = F.count("*").over(Window.partitionBy("mention_id", "alias_form"))
+    if "same" not in found.columns:
+        found = found.select("*", *_alike(), F.count("*").over(Window.partitionBy("mention_id", "alias_form")).alias("same"))
     return found.select(
-        "*", matching_ratio("form", "alias_form").alias("ratio"), matching_ratio(consonants(F.col("form")), consonants(F.col("alias_form"))).alias("skeleton_ratio"),
+        "*",
         (F.col("form") == F.col("alias_form")).cast("double").alias("exact"), F.col("alias_form").startswith(F.substring("form", 1, 3)).cast("double").alias("prefix"),
         F.abs(F.length("form") - F.length("alias_form")).cast("double").alias("length_gap"), *[(F.col("level") == x).cast("double").alias(f"is_{x}") for x in ("state", "district", "unit")],
-        F.array_contains(states, F.col("state")).cast("double").alias("state_fits"), F.coalesce(F.array_contains(districts, F.col("district")), F.lit(False)).cast("double").alias("district_fits"), (same > 1).cast("double").alias("ambiguous"),
+        F.array_contains(states, F.col("state")).cast("double").alias("state_fits"), F.coalesce(F.array_contains(districts, F.col("district")), F.lit(False)).cast("double").alias("district_fits"), (F.col("same") > 1).cast("double").alias("ambiguous"),
     ).fillna(0.0, list(FEATURES))
 
 

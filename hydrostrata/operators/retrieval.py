@@ -176,7 +176,10 @@ def nearest_texts(texts: DataFrame, key: str, text: str, query: Column, element:
     kind = dict(texts.dtypes)[key]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = pd.concat([pd.DataFrame(columns=["t", "key"]), *batches], ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        b = pd.concat(parts, ignore_index=True)
         elements, asked = b[b["key"].notna()].sort_values("key"), b.loc[b["key"].isna(), "t"]
         out = []
         if len(elements) and len(asked):

@@ -389,8 +389,10 @@ def r9_candidates(spark, folder):
 @query()
 def r11_resolver(spark, folder):
     """Entities of mentions by a logistic ranker fitted on the labelled ones."""
-    found = checkpointed(places.features(places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer")))))
-    labelled = found.where("gold is not null").withColumn("right", (F.col("gold") == F.col("db_name")) & (F.col("gold_level") == F.col("level")))
+    found = places.features(places.candidates(_mentions(spark, folder), places.alias_table(table(spark, folder, "gazetteer"))))
+    right = F.when(F.col("gold").isNotNull(), (F.col("gold") == F.col("db_name")) & (F.col("gold_level") == F.col("level")))
+    found = checkpointed(found.select("mention_id", "entity_id", *places.FEATURES, F.col("gold").isNotNull().alias("labelled"), right.alias("right")))
+    labelled = found.where("labelled").drop("labelled")
     model = places.fit_ranker(labelled, "right", 50_000)
     return places.resolve(found, model, 1).select("mention_id", "entity_id", F.round("score", 4).alias("score"))
 
