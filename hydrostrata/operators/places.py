@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrostrata.functions.text import consonants, devoiced, matching_ratio, phonetic_fold
+from hydrostrata.functions.text import blankless_ratio, consonants, devoiced, matching_ratio, phonetic_fold
 from hydrostrata.operators.windows import greedy_spans, top_per_key, word_spans
 from hydrostrata.session import checkpointed
 
@@ -29,6 +29,10 @@ CONFIDENT = 0.9
 STOP_ROWS, STOP_SHARE = 5, 0.8
 #: Aliases and mentioned forms that a task compares.
 ALIASES, FORMS = 20_000, 2_000
+#: Different forms of a gazetteer that go to the texts; more meet the texts' spans by joins, with the same answers.
+SENT = 50_000
+#: Words and spans that a task remembers at a time, and words a span has at most.
+REMEMBERED, WORDS = 1_000_000, 3
 
 
 def alias_table(gazetteer: DataFrame) -> DataFrame:
@@ -211,19 +215,146 @@ def _near(words: DataFrame, forms: DataFrame, fuzzy: float) -> DataFrame:
     return met.withColumn("r", matching_ratio("span", "form")).where(F.col("r") >= fuzzy)
 
 
-def _scanned(questions: DataFrame, aliases: DataFrame, key: str, text: str, fuzzy: float, stop: DataFrame | None = None) -> DataFrame:
-    """:func:`scan` with the text of each span; spans of words of ``stop`` alone are none."""
-    folded = questions.select(F.col(key).alias("key"), _folded(text).alias("t"))
-    spans = folded.select("key", F.explode(word_spans(F.col("t"))).alias("s")).select("key", "s.*")
-    forms = aliases.select("form").distinct()
+class _Spans:
+    """Finds the spans of folded texts that are, or are like, one of the forms, as :func:`_near` and equality do."""
+
+    def __init__(self, forms: list[str], fuzzy: float) -> None:
+        self.fuzzy, self.forms = fuzzy, set(forms)
+        self.multi = {f.split(" ")[0] for f in forms if " " in f}
+        by: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+        for f in forms:
+            if len(f) >= 3:
+                by[0].setdefault(f[:3], []).append(f)
+                by[1].setdefault(f[-3:], []).append(f)
+        self.like = tuple({end: (fs, np.array([len(f) for f in fs]), np.stack([self._bag(f) for f in fs])) for end, fs in x.items()} for x in by)
+        # lengths (as bits) that a span with this end may have; a word shorter than the end stands before or after a blank
+        self.lengths: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for side, x in enumerate(by):
+            for end, fs in x.items():
+                bits = 0
+                for f in fs:
+                    for d in range(-LENGTHS, LENGTHS + 1):
+                        bits |= 1 << min(63, max(0, len(f) + d))
+                short = end[:2] if side == 0 else end[1:]
+                for e in {end, short}:
+                    self.lengths[side][e] = self.lengths[side].get(e, 0) | bits
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.known: dict[str, tuple[str, float] | None] = {}
+        self.told = np.zeros((0, 2), np.uint64)
+        self.size, self.exact, self.opens = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+
+    @staticmethod
+    def _bag(form: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(form.replace(" ", "").encode(), np.uint8), minlength=128)[48:123].astype(np.int16)
+
+    def _learn(self, words: list[str]) -> None:
+        told = []
+        for w in words:
+            first = w[:3] if len(w) >= 3 else w + " "
+            last = w[-3:] if len(w) >= 3 else " " + w
+            told.append((self.lengths[0].get(first, 0), self.lengths[1].get(last, 0)))
+        self.told = np.concatenate([self.told, np.array(told, np.uint64).reshape(-1, 2)])
+        self.size = np.concatenate([self.size, np.array([len(w) for w in words], np.int64)])
+        self.exact = np.concatenate([self.exact, np.array([w in self.forms for w in words], bool)])
+        self.opens = np.concatenate([self.opens, np.array([w in self.multi for w in words], bool)])
+
+    def match(self, span: str) -> tuple[str, float] | None:
+        """The form that a span stands for, and its score."""
+        if span in self.forms:
+            return span, 2.0 + len(span) / 1000
+        best = None
+        if len(span) >= 4:
+            bag, bare = self._bag(span), span.replace(" ", "")
+            for like, end in zip(self.like, (span[:3], span[-3:]), strict=True):
+                if end not in like:
+                    continue
+                forms, sizes, bags = like[end]
+                letters = bags.sum(axis=1) + len(bare)
+                possible = (np.abs(sizes - len(span)) <= LENGTHS) & (2 * np.minimum(bags, bag).sum(axis=1) >= self.fuzzy * letters - 1e-9)
+                for i in np.flatnonzero(possible).tolist():
+                    r = blankless_ratio(bare, forms[i].replace(" ", ""))
+                    if r >= self.fuzzy and (best is None or (r, forms[i]) > best) and _edits(span, forms[i]) <= (1 - self.fuzzy) * (len(span) + len(forms[i])):
+                        best = r, forms[i]
+        return best and (best[1], best[0])
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, str, str, float]]]:
+        """Numbers of texts, and (start, stop, span, form, score) of each span found in them."""
+        if len(self.ids) > REMEMBERED or len(self.known) > REMEMBERED:
+            self._forget()
+        split = [t.split(" ") if t else [] for t in texts]
+        words = [w for ws in split for w in ws]
+        if fresh := [w for w in dict.fromkeys(words) if w not in self.ids]:
+            self.ids |= {w: len(self.ids) + k for k, w in enumerate(fresh)}
+            self._learn(fresh)
+        ids = np.array([self.ids[w] for w in words], np.int64)
+        counts = np.array([len(ws) for ws in split], np.int64)
+        owner = np.repeat(np.arange(len(split)), counts)
+        begin = np.repeat(np.cumsum(counts) - counts, counts)
+        size, ends = self.size[ids], np.cumsum(self.size[ids] + 1)
+        which, out = [], []
+        for n in range(1, WORDS + 1):
+            i = np.arange(max(0, len(ids) - n + 1))
+            i = i[owner[i] == owner[i + n - 1]]
+            length = ends[i + n - 1] - ends[i] + size[i]
+            bits = (self.told[ids[i], 0] | self.told[ids[i + n - 1], 1]) >> np.minimum(length, 63).astype(np.uint64)
+            may = ((bits & np.uint64(1)) == 1) & (length >= 4)
+            may |= self.exact[ids[i]] if n == 1 else self.opens[ids[i]]
+            for k in i[may].tolist():
+                span = words[k] if n == 1 else " ".join(words[k : k + n])
+                if span in self.known:
+                    found = self.known[span]
+                else:
+                    found = self.known[span] = self.match(span)
+                if found is not None:
+                    which.append(k)
+                    out.append((k - int(begin[k]), k - int(begin[k]) + n, span, *found))
+        return owner[np.array(which, np.int64)], out
+
+
+def _edits(a: str, b: str) -> int:
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+        last = row
+    return last[-1]
+
+
+def _matched(folded: DataFrame, forms: DataFrame, fuzzy: float) -> DataFrame:
+    """(key, start, stop, span, form, score) of the spans of texts (key, t) that are or are like a form, best form each."""
+    sent = [r[0] for r in forms.limit(SENT + 1).collect()]
+    if len(sent) <= SENT:
+        shared = folded.sparkSession.sparkContext.broadcast(sorted(sent))
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            spans = _Spans(shared.value, fuzzy)
+            for b in batches:
+                which, found = spans.find(b["t"].tolist())
+                if found:
+                    out = pd.DataFrame(found, columns=["start", "stop", "span", "form", "score"])
+                    out.insert(0, "key", b["key"].to_numpy()[which])
+                    yield out
+
+        return folded.where("t is not null").mapInPandas(look, f"key {dict(folded.dtypes)['key']}, start int, stop int, span string, form string, score double")
+    spans = folded.select("key", F.explode(word_spans(F.col("t"), WORDS)).alias("s")).select("key", "s.*")
     words = spans.select("span").distinct()
     exact = words.join(forms.withColumnRenamed("form", "span"), "span", "left_semi").select("span", F.col("span").alias("form"), (F.lit(2.0) + F.length("span") / 1000).alias("score"))
     near = _near(words.join(forms.withColumnRenamed("form", "span"), "span", "left_anti"), forms, fuzzy)
     matched = exact.unionByName(near.groupBy("span").agg(F.max_by("form", F.struct("r", "form")).alias("form"), F.max("r").alias("score")))
+    return spans.join(checkpointed(matched), "span")
+
+
+def _scanned(questions: DataFrame, aliases: DataFrame, key: str, text: str, fuzzy: float, stop: DataFrame | None = None) -> DataFrame:
+    """:func:`scan` with the text of each span; spans of words of ``stop`` alone are none."""
+    folded = questions.select(F.col(key).alias("key"), _folded(text).alias("t"))
+    every = checkpointed(_matched(folded, aliases.select("form").distinct(), fuzzy))
     if stop is not None:
-        told = matched.select("span", F.explode(F.split("span", " ")).alias("word")).join(stop, "word", "left_anti").select("span").distinct()
-        matched = matched.join(told, "span", "left_semi")
-    every = spans.join(checkpointed(matched), "span")
+        told = every.select("span").distinct().select("span", F.explode(F.split("span", " ")).alias("word")).join(stop, "word", "left_anti").select("span").distinct()
+        every = every.join(told, "span", "left_semi")
     return greedy_spans(every.select("key", "start", "stop", "score"), "key").join(every, ["key", "start", "stop", "score"]).dropDuplicates(["key", "start", "stop"])
 
 

@@ -11,7 +11,7 @@ from hydrostrata.functions import grounding, text
 from hydrostrata.operators import audit, crosswalk, etl, evaluate, lexical, places, retrieval, windows
 from hydrostrata.plans import oracles
 from hydrostrata.plans.star import STAR_SQL, star
-from hydrostrata.session import checkpointed
+from hydrostrata.session import checkpointed, spread
 from hydrostrata.sources.tables import table
 from hydrostrata.streaming import cycles
 
@@ -376,7 +376,7 @@ def _mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def r6_gazetteer_scan(spark, folder):
-    rows = table(spark, folder, "ingres_bench_v1").dropDuplicates(["id"])
+    rows = spread(table(spark, folder, "ingres_bench_v1").select("id", "question").dropDuplicates(["id"]), "id")
     return places.scan(rows, places.alias_table(table(spark, folder, "gazetteer")), "id", "question")
 
 

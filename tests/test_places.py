@@ -42,3 +42,22 @@ def test_candidates_are_the_best_by_cosine(spark, monkeypatch, blocks):
         equal = {e for e, _, p in known if p == plain[form]}
         right |= {(m, e): 1.0 if e in equal else best[e] for e in {*top, *equal}}
     assert set(got) == set(right) and all(abs(got[k] - right[k]) < 1e-6 for k in right)
+
+
+def test_names_are_found_in_the_texts_as_by_joins(spark, monkeypatch):
+    draw = random.Random(8)
+    name = lambda: "".join(draw.choice(["ba", "ki", "do", "mu", "gon", "tal", "ri"]) for _ in range(draw.randint(1, 4)))
+    forms = [" ".join(name() for _ in range(draw.choice([1, 1, 2, 3]))) for _ in range(80)] + ["of ki", "ab"]
+
+    def slip(f):
+        k = draw.randrange(len(f))
+        return f[:k] + draw.choice(["", " ", "x", f[k] * 2]) + f[k + 1 :]
+
+    texts = [(i, " ".join(" ".join(draw.choice([name(), draw.choice(forms), slip(draw.choice(forms)), "of", "a"]) for _ in range(12)).split())) for i in range(60)] + [(98, ""), (99, None)]
+    folded = spark.createDataFrame(texts, "key long, t string")
+    held = spark.createDataFrame([(f,) for f in set(forms)], "form string")
+    found = [{tuple(r) for r in places._matched(folded, held, 0.84).select("key", "start", "stop", "span", "form", "score").collect()}]
+    assert "explode" not in places._matched(folded, held, 0.84)._jdf.queryExecution().toString()  # spans that are no name leave no task
+    monkeypatch.setattr(places, "SENT", 10)
+    found.append({tuple(r) for r in places._matched(folded, held, 0.84).select("key", "start", "stop", "span", "form", "score").collect()})
+    assert found[0] == found[1] and sum(r[3] != r[4] for r in found[0]) > 20 and sum(r[2] - r[1] > 1 for r in found[0]) > 20
