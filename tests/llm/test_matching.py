@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,24 @@ def test_a_hot_district_makes_no_pairs_of_all(spark):
     left = spark.createDataFrame([(f"u{i}", 2025, n, "d", "s", None) for i, n in enumerate(names)], "id string, year int, name string, district string, state string, area double")
     parsed = left.mapInPandas(matching._parse, matching.PARSED)
     assert matching.candidates(parsed, parsed.withColumn("id", F.concat(F.lit("p"), "id"))).count() < 12 * len(names)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_do_not_pile_up_and_years_are_matched_in_turn(spark, monkeypatch):
+    cycles = [f"{y}-{y + 1}" for y in range(2016, 2026)]
+    rows = [cross(10 * k + i, unit, name, cycle=c) for k, c in enumerate(cycles) for i, (unit, name) in enumerate([("a", "NETOKHED"), ("b", "KOLAGAON"), ("c", "HIHUPIGARH")])]
+    pubs = [pub(1000 + 10 * k + i, name, year=2017 + k) for k in range(10) for i, name in enumerate(["Netokhd", "Kolagaon (Blk)", "Hihup."])]
+    crosswalk, published = spark.createDataFrame(rows, CROSS), spark.createDataFrame(pubs, PUB)
+    before = _shuffle_files(spark)
+    monkeypatch.setattr(matching, "STEPS", 1)
+    matched = matching.match_units(crosswalk, published)
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)  # they go in the background
+    assert not left
+    assert {(r.review_id, r.pub_id) for r in matched.collect()} == {(10 * k + i, 1000 + 10 * k + i) for k in range(10) for i in range(3)}
