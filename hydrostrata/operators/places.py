@@ -172,12 +172,15 @@ def features(found: DataFrame) -> DataFrame:
     ).fillna(0.0, list(FEATURES))
 
 
-def fit_ranker(featured: DataFrame, label: str, most: int = 200_000) -> LogisticRegressionModel:
-    """A logistic ranker with balanced weights, fitted on at most ``most`` labelled candidate rows."""
-    rows = checkpointed(featured.select(*FEATURES, F.col(label).cast("double").alias(label), "mention_id", "entity_id").orderBy(F.xxhash64("mention_id", "entity_id")).limit(most))
-    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
-    weight = F.when(F.col(label).cast("int") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.withColumn("weight", weight).withColumn("y", F.col(label).cast("double")))
+def fit_ranker(featured: DataFrame, label: str) -> LogisticRegressionModel:
+    """A logistic ranker with balanced weights, fitted on all labelled candidate rows.
+
+    Rows of equal features and label are one row that weighs as much: many mentions share a form.
+    """
+    kinds = checkpointed(featured.groupBy(*FEATURES, F.col(label).cast("double").alias("y")).agg(F.count("*").alias("n")))
+    share = kinds.agg(F.sum(F.col("y") * F.col("n")) / F.sum("n")).first()[0] or 0.5
+    weight = F.when(F.col("y") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(kinds.withColumn("weight", F.col("n") * weight))
     return LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=50).fit(data)
 
 

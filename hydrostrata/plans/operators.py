@@ -393,7 +393,7 @@ def r11_resolver(spark, folder):
     right = F.when(F.col("gold").isNotNull(), (F.col("gold") == F.col("db_name")) & (F.col("gold_level") == F.col("level")))
     found = checkpointed(found.select("mention_id", "entity_id", *places.FEATURES, F.col("gold").isNotNull().alias("labelled"), right.alias("right")))
     labelled = found.where("labelled").drop("labelled")
-    model = places.fit_ranker(labelled, "right", 50_000)
+    model = places.fit_ranker(labelled, "right")
     return places.resolve(found, model, 1).select("mention_id", "entity_id", F.round("score", 4).alias("score"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hydrostrata.operators import lexical
+from hydrostrata.operators import lexical, places
 from hydrostrata.plans import operators
 
 
@@ -49,6 +49,17 @@ def test_candidates_of_all_scripts_and_all_equal_names(run):
     assert [max((r.gram_score, r.entity_id) for r in got if r.mention_id == m) for m in (2, 3, 4)] == [(1.0, 100), (1.0, 101), (1.0, 100)]
 
 
+def test_resolver_is_fitted_on_all_labelled_mentions(run, monkeypatch):
+    fitted, fit = [], places.fit_ranker
+    monkeypatch.setattr(places, "fit_ranker", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    entries = [(i, "unit", f"{c}{d}GAON", f"{c}{d}gaon", "S", "D", None) for i, (c, d) in enumerate((c, d) for c in ("KA", "MU", "TI", "DO", "RE", "NA") for d in ("BA", "LI", "GO", "ME", "PU"))]
+    rows = [(i, entries[i % 30][3] if i % 7 else "Kabaligaon", None, entries[i % 30][2], "unit") for i in range(1_800)]
+    got = run("r11_resolver", ("gazetteer", entries, GAZETTEER), ("errors_sample", rows, MENTION))
+    told = fitted[0].summary.predictions.withColumn("wrong", F.col("y") == 0).groupBy("wrong").agg(F.sum("n")).collect()
+    assert {r[0]: r[1] for r in told} == {False: 1_800, True: 29 * 1_800}
+    assert {r.mention_id: r.entity_id for r in got if r.mention_id % 7} == {i: i % 30 for i in range(1_800) if i % 7}
+
+
 BENCH = "id string, split string, language string, question string, entities array<struct<type string, db_name string, display string>>"
 
 
