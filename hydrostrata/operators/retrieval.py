@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,13 @@ from hydrostrata.session import checkpointed, spread
 K1, B = 1.2, 0.75
 #: Different query terms up to which a document's words are compared with them in the row; beyond, by a join with the same result.
 MOST_TERMS = 1_000
-#: Different texts a task searches, and searches for, at a time; postings read before the first, second, ... look at what is still possible.
-SEARCHED, ASKED = 20_000, 10_000
-LOOKS = (3_000, 12_000, 48_000)
-#: Scores closer than this are equal, and how many texts are compared in full after a look.
-EQUAL, FULL = 1e-9, 1_000
+#: Different texts a task searches, and searches for, at a time; grams that so many texts hold are read before the first, second, ... look at what is still possible.
+SEARCHED, ASKED = 150_000, 60_000
+LOOKS = (1_000, 8_000)
+#: Scores closer than this are equal; texts after a look that are compared in full, and that are compared in full first.
+EQUAL, FULL, FIRST = 1e-9, 1_000, 8
+#: A word is common in a task if this share of the texts hold it, and asked texts for which a further task is worth its start.
+COMMON, FEW = 0.002, 2_000
 
 
 def tokens(text: Column) -> Column:
@@ -80,23 +83,43 @@ def nearest_text(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 class _Grams:
-    """Vectors of masked texts as in :func:`tfidf`, over a vocabulary of (gram, documents that hold it); the rarest gram has the id 0."""
+    """Vectors as in :func:`tfidf`, over a vocabulary of (gram, documents that hold it), of masked texts in two parts.
 
-    def __init__(self, counts: list[tuple[str, int]], n: int) -> None:
-        order = sorted(counts, key=lambda x: (x[1], x[0]))
-        self.ids = {gram: i for i, (gram, _) in enumerate(order)}
-        self.idf = np.log((1 + n) / (1 + np.array([c for _, c in order], dtype=float))) + 1
-        self.words: dict[str, np.ndarray] = {}
+    ``u = t + n``: ``t`` is the vector that the ``common`` words of a text have alone, which many texts share; ``n`` is what the others add.
+    """
+
+    def __init__(self, counts: list[tuple[str, int]], n: int, common: set[str]) -> None:
+        self.ids = {gram: i for i, (gram, _) in enumerate(counts)}
+        self.idf = np.log((1 + n) / (1 + np.array([c for _, c in counts], dtype=float))) + 1
+        self.common, self.words, self.shared = common, {}, {}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def _counted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = []
-        for word in text.split(" "):
+        for word in words:
             if (known := self.words.get(word)) is None:
                 known = self.words[word] = np.array([self.ids[g] for g in word_grams(word)], dtype=np.int32)
             parts.append(known)
-        ids, c = np.unique(np.concatenate(parts), return_counts=True)
-        w = (1 + np.log(c)) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum())
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def parts(self, text: str) -> tuple[str, np.ndarray, np.ndarray, float]:
+        """(common words, grams and weights of ``n``, length of ``u``); ``shared`` holds grams, counts, weights and square of the ``t`` of common words."""
+        kept: list[str] = []
+        rest: list[str] = []
+        for w in text.split(" "):
+            (kept if w in self.common else rest).append(w)
+        words = " ".join(sorted(kept))
+        if (t := self.shared.get(words)) is None:
+            ids, counts = self._counted(kept)
+            weights = (1 + np.log(counts)) * self.idf[ids]
+            t = self.shared[words] = ids, counts, weights, float((weights * weights).sum())
+        ids, counts = self._counted(rest)
+        at = np.minimum(np.searchsorted(t[0], ids), max(0, len(t[0]) - 1))
+        both = np.flatnonzero(t[0][at] == ids) if len(t[0]) else np.zeros(0, np.int64)
+        held, at = counts.astype(float), at[both]
+        held[both] += t[1][at]
+        weights = (1 + np.log(held)) * self.idf[ids]
+        weights[both] -= t[2][at]
+        return words, ids, weights, float(np.sqrt(t[3] + 2 * (t[2][at] * weights[both]).sum() + (weights * weights).sum()))
 
 
 def word_grams(word: str, low: int = 2, high: int = 4) -> list[str]:
@@ -106,53 +129,118 @@ def word_grams(word: str, low: int = 2, high: int = 4) -> list[str]:
 
 
 class _Nearest:
-    """Texts of which the nearest one to a vector is found, without reading the postings of grams that cannot change which one it is."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_grams: int) -> None:
-        self.starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in vectors])])
-        self.ids, self.weights = (np.concatenate(x) for x in zip(*vectors, strict=True))
-        order = np.argsort(self.ids, kind="stable")
-        self.texts = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(self.starts))[order]
-        self.posted = self.weights[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=n_grams))])
-        self.query = np.zeros(n_grams)
-
-    def _full(self, which: np.ndarray) -> np.ndarray:
-        lengths = self.starts[which + 1] - self.starts[which]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(ends[-1])
-        return np.add.reduceat(self.query[self.ids[at]] * self.weights[at], ends - lengths)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts that may be the nearest, and their scores: all whose score is the highest are among them."""
-        self.query[ids] = weights
-        lengths = self.at[ids + 1] - self.at[ids]
-        postings = np.cumsum(lengths)
-        # by Cauchy and Schwarz, the grams not read yet can give a text no more than their length as a vector
-        rest = np.sqrt(np.maximum(0.0, np.concatenate([np.cumsum((weights * weights)[::-1])[::-1], [0.0]])))
-        scores, best, read = np.zeros(len(self.starts) - 1), 0.0, 0
-        for look in (*LOOKS, postings[-1]):
-            to = max(read, int(np.searchsorted(postings, look, "right")))
-            if to > read:
-                part = [slice(self.at[i], self.at[i + 1]) for i in ids[read:to]]
-                scores += np.bincount(np.concatenate([self.texts[p] for p in part]), np.concatenate([self.posted[p] for p in part]) * np.repeat(weights[read:to], lengths[read:to]), len(scores))
-                read = to
-            top = np.argpartition(scores, -8)[-8:] if len(scores) > 8 else np.arange(len(scores))
-            best = max(best, self._full(top).max())
-            if rest[read] < best - EQUAL or read == len(ids):
-                possible = np.flatnonzero(scores >= best - rest[read] - EQUAL)
-                if len(possible) <= FULL or read == len(ids):
-                    break
-        found = self._full(possible)
+    """Texts of which the nearest one to a text is found, without reading what cannot change which one it is.
+
+    The product with the common words of a text is the same for all texts that have them, so it is made once for these. Of the rest, the
+    postings of rare grams are read; by Cauchy and Schwarz, the grams not read yet give no more than the product of their lengths in both vectors.
+    """
+
+    def __init__(self, texts: list[str], made: _Grams) -> None:
+        self.made, n_grams = made, len(made.idf)
+        vectors = [made.parts(t) for t in texts]
+        self.kinds = {words: i for i, words in enumerate(dict.fromkeys(v[0] for v in vectors))}
+        kind = np.array([self.kinds[v[0]] for v in vectors])
+        self.order = np.argsort(kind, kind="stable")
+        vectors, self.kind = [vectors[i] for i in self.order.tolist()], kind[self.order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.kind))])
+        self.scale = 1 / np.array([v[3] for v in vectors])
+        sizes = np.array([len(v[1]) for v in vectors])
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        # a gram of no weight at the end, so that texts of common words alone have a sum too
+        self.ids = np.concatenate([*(v[1] for v in vectors), np.zeros(1, np.int32)])
+        self.weights = np.concatenate([*(v[2] * k for v, k in zip(vectors, self.scale.tolist(), strict=True)), np.zeros(1)])
+        self.posted, self.at = self._lists(np.repeat(np.arange(len(vectors), dtype=np.int32), sizes), self.ids[:-1], self.weights[:-1], n_grams)
+        shared = [made.shared[words] for words in self.kinds]
+        self.kind_posted, self.kind_at = self._lists(np.repeat(np.arange(len(shared), dtype=np.int32), [len(x[0]) for x in shared]), np.concatenate([x[0] for x in shared]), np.concatenate([x[2] for x in shared]), n_grams)
+        self.lengths = np.diff(self.at)
+        square, of, owner = self.weights[:-1] ** 2, self.lengths[self.ids[:-1]], np.repeat(np.arange(len(vectors)), sizes)
+        self.rest = [np.sqrt(np.bincount(owner[of > look], square[of > look], len(vectors))) for look in LOOKS]
+        self.most_scale, self.most_rest = np.maximum.reduceat(self.scale, self.first[:-1]), [np.maximum.reduceat(r, self.first[:-1]) for r in self.rest]
+        self.query, self.sums, self.known = np.zeros(n_grams), np.zeros(len(vectors)), {}
+
+    @staticmethod
+    def _lists(owner: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        return (owner[order], weights[order]), np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n))])
+
+    @staticmethod
+    def _read(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where = _ranges(at[ids], at[ids + 1])
+        return lists[0][where], lists[1][where] * np.repeat(weights, at[ids + 1] - at[ids])
+
+    def _kinds(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(*self._read(self.kind_posted, self.kind_at, ids, weights), len(self.kinds))
+
+    def _full(self, which: np.ndarray, told: np.ndarray) -> np.ndarray:
+        begin, end = self.starts[which], self.starts[which + 1]
+        at = _ranges(begin, end + 1)  # one more than the text's grams
+        value = self.query[self.ids[at]] * self.weights[at]
+        ends = np.cumsum(end - begin + 1)
+        value[ends - 1] = 0.0
+        return np.add.reduceat(value, ends - (end - begin + 1)) + told[self.kind[which]] * self.scale[which]
+
+    def _front(self, which: np.ndarray, bound: np.ndarray, told: np.ndarray) -> float:
+        """What the highest score is at least, from those of ``which`` with the highest ``bound``."""
+        if not len(which):
+            return 0.0
+        top = which[np.argpartition(bound, -FIRST)[-FIRST:]] if len(which) > FIRST else which
+        return self._full(top, told).max() - EQUAL
+
+    def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of texts that may be the nearest, and their scores: all whose score is the highest are among them."""
+        words, ids, weights, length = self.made.parts(text)
+        t_ids, _, t_weights, _ = self.made.shared[words]
+        if words not in self.known:
+            self.known = {words: self._kinds(t_ids, t_weights)}  # texts of the same common words follow each other
+        told = (self.known[words] + self._kinds(ids, weights)) / length
+        self.query[t_ids] = t_weights / length
+        self.query[ids] += weights / length
+        ids = np.union1d(t_ids, ids)
+        lengths = self.lengths[ids]
+        ids, lengths = ids[lengths > 0], lengths[lengths > 0]
+        weights = self.query[ids]
+        touched, read, low = [], 0, 0.0
+        for k, look in enumerate(LOOKS):
+            now = (lengths > read) & (lengths <= look)
+            owner, part = self._read(self.posted, self.at, ids[now], weights[now])
+            np.add.at(self.sums, owner, part)
+            touched.append(owner)
+            read = look
+            rest = np.sqrt((weights[lengths > look] ** 2).sum())
+            # what is read is a lower bound, as no weight is negative; those in front are compared in full for a better one
+            met = touched[0] if k == 0 else np.concatenate(touched)
+            bound = self.sums[met] + told[self.kind[met]] * self.scale[met]
+            low = max(low, (told * self.most_scale).max() - EQUAL, self._front(met, bound, told))
+            met = met[bound + rest * self.rest[k][met] >= low]
+            alive = np.flatnonzero(told * self.most_scale + rest * self.most_rest[k] >= low)
+            others = _ranges(self.first[alive], self.first[alive + 1])
+            bound = self.sums[others] + told[self.kind[others]] * self.scale[others]
+            low = max(low, self._front(others, bound, told))
+            possible = np.unique(np.concatenate([met, others[bound + rest * self.rest[k][others] >= low]]))
+            bound = self.sums[possible] + told[self.kind[possible]] * self.scale[possible]
+            possible = possible[bound + rest * self.rest[k][possible] >= low]
+            if len(possible) <= FULL:
+                break
+        for seen in touched:
+            self.sums[seen] = 0.0
+        found = self._full(possible, told)
+        self.query[t_ids] = 0.0
         self.query[ids] = 0.0
-        return possible, found
+        return self.order[possible], found
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` to before its ``end``."""
+    sizes = end - begin
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def nearest_texts(texts: DataFrame, key: str, text: str, query: Column, element: Column) -> DataFrame:
     """(query_key, key, score): for each row of ``query`` the row of ``element`` with the highest cosine of :func:`tfidf` vectors of all rows.
 
     Of equal scores (to 12 digits) the highest key counts; rows that share no gram with any element have none. Equal texts are searched once.
-    Blocks of different texts meet blocks of different texts; within a block the search is exact but skips the postings that cannot matter.
+    Blocks of different texts meet blocks of different texts; within a block the search is exact but skips what cannot matter.
     """
     spark = texts.sparkSession
     rows = texts.select(F.col(key).alias("key"), masked(F.col(text)).alias("t"), F.coalesce(query, F.lit(False)).alias("q"), F.coalesce(element, F.lit(False)).alias("e"))
@@ -171,6 +259,7 @@ def nearest_texts(texts: DataFrame, key: str, text: str, query: Column, element:
     n, (n_elements, n_queries) = texts.count(), every.agg(F.count("key"), F.count_if("q")).first()
     shared = spark.sparkContext.broadcast((grams, n))
     blocks, askers = -(-n_elements // SEARCHED), -(-n_queries // ASKED)
+    askers = max(askers, min(2 * spark.sparkContext.defaultParallelism // max(1, blocks), n_queries // FEW))
     if not blocks or not askers:
         return rows.where("false").select(F.col("key").alias("query_key"), "key", F.lit(0.0).alias("score"))
     kind = dict(texts.dtypes)[key]
@@ -183,13 +272,14 @@ def nearest_texts(texts: DataFrame, key: str, text: str, query: Column, element:
         elements, asked = b[b["key"].notna()].sort_values("key"), b.loc[b["key"].isna(), "t"]
         out = []
         if len(elements) and len(asked):
-            made = _Grams(*shared.value)
-            index = _Nearest([made.vector(t) for t in elements["t"]], len(made.idf))
-            for t in asked:
-                possible, scores = index.nearest(*made.vector(t))
+            held = Counter(w for t in elements["t"] for w in set(t.split(" ")))
+            made = _Grams(*shared.value, {w for w, c in held.items() if c > max(1, COMMON * len(elements))})
+            index, keys = _Nearest(elements["t"].tolist(), made), elements["key"].to_numpy()
+            for t in sorted(asked, key=lambda t: sorted(w for w in t.split(" ") if w in made.common)):
+                possible, scores = index.nearest(t)
                 scores = np.round(scores, 12)
                 if (most := scores.max()) > 0:
-                    out.append((t, elements["key"].iat[possible[scores == most].max()], most))  # keys are in order
+                    out.append((t, keys[possible[scores == most].max()], most))  # keys are in order
         if out:
             yield pd.DataFrame(out, columns=["t", "key", "score"])
 

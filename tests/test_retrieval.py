@@ -48,3 +48,20 @@ def test_nearest_question_is_the_nearest(spark, tmp_path, monkeypatch, looks):
 def test_grams_have_the_lengths_asked_for(spark):
     row = spark.range(1).select(retrieval.char_grams(F.lit("Ab 12")).alias("g")).first()
     assert sorted(row.g) == sorted([" a", "ab", "b ", " ab", "ab ", " ab ", " 0", "00", "0 ", " 00", "00 ", " 00 "])
+
+
+def test_few_texts_of_a_template_are_compared_in_full():
+    draw = random.Random(9)
+    name = lambda: "".join(draw.choice("bdgklmnprstvy") + draw.choice("aeiou") for _ in range(4)) + draw.choice(["pur", "nagar", "gaon"])
+    forms = ["how much did recharge from canals in {} shift", "which units of {} went past 000 in rainfall", "{} vs {}, gharelu draft", "{}", "list all units"]
+    held = sorted({draw.choice(forms).format(name(), name()) for _ in range(3_000)})
+    asked = [draw.choice(forms).format(draw.choice([name(), *draw.choice(held).split(" ")[-1:]]), name()) for _ in range(60)]
+    texts = dict(enumerate(held + asked))
+    counts = Counter(g for t in texts.values() for g in {g for w in t.split(" ") for g in retrieval.word_grams(w)})
+    common = {w for w, c in Counter(w for t in held for w in set(t.split(" "))).items() if c > 6}
+    index = retrieval._Nearest(held, retrieval._Grams(list(counts.items()), len(texts), common))
+    found = {len(held) + i: index.nearest(t) for i, t in enumerate(asked)}
+    right = _nearest(texts, list(found), list(range(len(held))))
+    for q, (which, scores) in found.items():
+        assert right[q] == {int(k) for k, s in zip(which, scores, strict=True) if round(s, 9) == round(scores.max(), 9)}
+    assert sum(len(which) for which, _ in found.values()) < 30 * len(asked)  # of 3,000
