@@ -2,6 +2,7 @@ import math
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hydrostrata.llm import matching
@@ -106,3 +107,33 @@ def test_shuffle_files_do_not_pile_up_and_years_are_matched_in_turn(spark, monke
         time.sleep(0.2)  # they go in the background
     assert not left
     assert {(r.review_id, r.pub_id) for r in matched.collect()} == {(10 * k + i, 1000 + 10 * k + i) for k in range(10) for i in range(3)}
+
+
+def test_names_and_keys_of_a_unit_are_made_once_for_all_years(monkeypatch):
+    read, hashed = [], []
+    strip, key = matching.strip_levels, matching._key
+    monkeypatch.setattr(matching, "strip_levels", lambda x: read.append(x) or strip(x))
+    monkeypatch.setattr(matching, "_key", lambda *x: hashed.append(x) or key(*x))
+    rows = pd.DataFrame([("u", y, "Totipalnagar II", "Vidopur", "Nesadesh", 5.0) for y in range(2016, 2026)], columns=["id", "year", "name", "district", "state", "area"])
+    (parsed,) = matching._parse(iter([rows]))
+    keys = [set(matching.blocking_keys(r.core, r.written, r.year, r.district, True)) for r in parsed.itertuples()]
+    assert len(parsed) == 10 and parsed["ordinal"].eq(2).all() and len(read) == 3
+    assert len(hashed) < 3 * len(keys[0]) and all(len(k) == len(keys[0]) for k in keys) and len(set().union(*keys)) == 10 * len(keys[0])
+    other = set(matching.blocking_keys(parsed["core"][0].replace("p", "", 1), parsed["written"][0], 2016, "", False))
+    assert len(other & keys[0]) > 2 and not other & keys[1]
+
+
+def test_slips_are_those_of_whole_words():
+    def whole(a, b):  # all cells
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    draw = random.Random(4)
+    words = ["".join(draw.choice("ab" if i % 2 else "abc") for _ in range(draw.randint(0, 8))) for i in range(120)]
+    for most in (1, 2, 3):
+        assert all(matching.slips(a, b, most) == min(most + 1, whole(a, b)) for a in words for b in words)
